@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that parts words, as byte values: space and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -52,3 +53,31 @@ def let(value: Column, body) -> Column:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def map_texts(df: DataFrame, make, fields: dict[str, str], text: str = "text") -> DataFrame:
+    """df without `text` but with the columns of `fields`, made from each whole text in Arrow batches.
+
+    make() runs once for each task and gives a function from a list of texts
+    (None for null) to {name: list}. Input columns named like a field are dropped.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+    keep = [c for c in df.columns if c != text and c not in fields]
+    df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    schema = T.StructType([*df.schema.fields[:-1], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()]])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        of, target = make(), to_arrow_schema(schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):  # bounds the texts held as Python strings
+                part = batch.slice(at, 250)
+                made = of(part.column(part.num_columns - 1).to_pylist())
+                arrays = [part.column(i).cast(target.field(i).type) for i in range(len(keep))]
+                arrays += [pa.array(made[n], type=target.field(n).type) for n in fields]
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    return df.mapInArrow(run, schema)

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import quality, shard
+from tarn.llm import bpe, quality, shard, token_fst
 from tarn.llm.common import Workspace, tables
 
 
+def vocabulary_file(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, vocabulary_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_fst.count_tokens(docs, vocabulary_file("word_bpe_49k.json"), limit=2048)
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = tables(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -22,6 +39,8 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_speculative_bpe": op4_speculative_bpe,
+    "op7_transducer_counts": op7_transducer_counts,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_divergence_rules": op10_divergence_rules,
 }
