@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, quality, shard, token_fst
+from tarn.llm import bpe, impact_index, quality, shard, token_fst
 from tarn.llm.common import Workspace, tables
 
 
@@ -21,6 +21,11 @@ def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = impact_index.integer_vectors(tables(spark, sf_dir, "embeddings"))
+    return impact_index.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
     return token_fst.count_tokens(docs, vocabulary_file("word_bpe_49k.json"), limit=2048)
@@ -40,9 +45,26 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_speculative_bpe": op4_speculative_bpe,
+    "op6_impact_ordered_topk": op6_impact_ordered_topk,
     "op7_transducer_counts": op7_transducer_counts,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_divergence_rules": op10_divergence_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_impact_ordered_topk": """
+        WITH fit AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM fit q JOIN fit c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+        FROM scored QUALIFY "rank" <= 5
+    """,
+}
