@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, impact_index, quality, shard, token_fst
+from tarn.llm import bpe, impact_index, quality, shard, token_fst, warc
 from tarn.llm.common import Workspace, tables
 
 
@@ -16,6 +16,11 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.archive_pages(spark, tables(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, folder)
+
+
 def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, vocabulary_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -44,6 +49,7 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_normaliser": op2_warc_normaliser,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op6_impact_ordered_topk": op6_impact_ordered_topk,
     "op7_transducer_counts": op7_transducer_counts,
