@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, impact_index, quality, shard, token_fst, warc
+from tarn.llm import bpe, impact_index, quality, shard, token_fst, toxicity, warc
 from tarn.llm.common import Workspace, tables
 
 
@@ -21,6 +21,13 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, folder)
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, Workspace(spark, "toxicity"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, vocabulary_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -50,6 +57,7 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc_normaliser": op2_warc_normaliser,
+    "op3_weak_supervision": op3_weak_supervision,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op6_impact_ordered_topk": op6_impact_ordered_topk,
     "op7_transducer_counts": op7_transducer_counts,
