@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, impact_index, quality, shard, token_fst, toxicity, warc
+from tarn.llm import bpe, impact_index, minmax, quality, shard, token_fst, toxicity, warc
 from tarn.llm.common import Workspace, tables
 
 
@@ -43,6 +43,10 @@ def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.count_tokens(docs, vocabulary_file("word_bpe_49k.json"), limit=2048)
 
 
+def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(spark, tables(spark, sf_dir, "documents"))
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = tables(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_speculative_bpe": op4_speculative_bpe,
     "op6_impact_ordered_topk": op6_impact_ordered_topk,
     "op7_transducer_counts": op7_transducer_counts,
+    "op8_minmax_near_duplicates": op8_minmax_near_duplicates,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_divergence_rules": op10_divergence_rules,
 }
