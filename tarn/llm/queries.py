@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, impact_index, minmax, quality, shard, token_fst, toxicity, warc
+from tarn.llm import bpe, impact_index, minmax, packing, quality, shard, token_fst, toxicity, warc
 from tarn.llm.common import Workspace, tables
 
 
@@ -33,6 +33,11 @@ def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, vocabulary_file("byte_bpe_50k.tiktoken"), vocabulary_file("byte_bpe_50k.json"), end=2, capacity=1024)
+
+
 def op6_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = impact_index.integer_vectors(tables(spark, sf_dir, "embeddings"))
     return impact_index.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_warc_normaliser": op2_warc_normaliser,
     "op3_weak_supervision": op3_weak_supervision,
     "op4_speculative_bpe": op4_speculative_bpe,
+    "op5_bin_completion_packing": op5_bin_completion_packing,
     "op6_impact_ordered_topk": op6_impact_ordered_topk,
     "op7_transducer_counts": op7_transducer_counts,
     "op8_minmax_near_duplicates": op8_minmax_near_duplicates,
