@@ -1,13 +1,68 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Five stages, each on all that the one before kept: toxic documents go, documents
+that fail the quality rules go, one document of each group of near-duplicates
+stays, passages seen before are cut out, and what is left is packed. A stage
+takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. Rows whose id is null pass the third stage unchanged.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import minmax, packing, quality, substring_index, toxicity
+from tarn.llm.common import Workspace, tables
+from tarn.llm.queries import vocabulary_file
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, tables(spark, sf_dir, "labels"), Workspace(spark, "toxicity"))
+    scored = toxicity.score(docs.withColumn("_scored", F.col("text")), model, text="_scored")
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minmax.near_duplicates(spark, docs)
+    kept = docs.join(found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    # Rows that repeat an id and its text are copies of one document.
+    kept = kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_index.remove_repeated(spark, docs, keep=[c for c in docs.columns if c != "text"], with_text=True)
+    found = found.withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary_file("byte_bpe_50k.tiktoken"), vocabulary_file("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("best_fit_packing", packing_stage),
+]
 
+#: A trained classifier and tokenizers are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages applied to documents, each written as Parquet and read again."""
+    work = Workspace(spark, "pipeline")
+    docs = tables(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = work.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

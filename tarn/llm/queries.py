@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, impact_index, minmax, packing, quality, shard, token_fst, toxicity, warc
+from tarn.llm import bpe, impact_index, minmax, packing, quality, shard, substring_index, token_fst, toxicity, warc
 from tarn.llm.common import Workspace, tables
 
 
@@ -16,6 +16,10 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.remove_repeated(spark, tables(spark, sf_dir, "documents"))
+
+
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = warc.archive_pages(spark, tables(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, folder)
@@ -65,6 +69,7 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_index": op1_substring_index,
     "op2_warc_normaliser": op2_warc_normaliser,
     "op3_weak_supervision": op3_weak_supervision,
     "op4_speculative_bpe": op4_speculative_bpe,
