@@ -35,7 +35,7 @@ from tarn.llm.common import Workspace
 CAPACITY = 1024
 #: Search steps of the branch and bound, and fillings it tries around one piece.
 NODES, FILLINGS = 8_000, 12
-CELL_ROWS = 1_000_000
+CELL_ROWS = 4_000
 
 Pattern = tuple[int, list[tuple[int, int]]]  # times used, [(length, pieces of it in one sequence)]
 
@@ -270,15 +270,19 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY, work: Workspace | Non
             offset += length * each
         base += times
     # A list for each length; the patterns, and so the lists, are bounded by the capacity.
-    where = _literal(spark, [{"length": x, "slots": s} for x, s in slots.items()], "length:bigint,slots:array<struct<lo:bigint,hi:bigint,each:bigint,base:bigint,at:bigint>>")
-    cells = max(1, -(-max(counts.values(), default=1) // CELL_ROWS))
-    cell = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells))
-    ranked = cut_pieces.withColumn("_cell", cell)
+    where = _literal(
+        spark,
+        [{"length": x, "cells": -(-counts[x] // CELL_ROWS), "slots": s} for x, s in slots.items()],
+        "length:bigint,cells:int,slots:array<struct<lo:bigint,hi:bigint,each:bigint,base:bigint,at:bigint>>",
+    )
+    dealt = cut_pieces.join(F.broadcast(where), "length").withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), F.col("cells")))
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranked.groupBy("length", "_cell").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    offsets = dealt.groupBy("length", "_cell").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     order = Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = ranked.withColumn("_rank", F.row_number().over(order) - 1).join(offsets, ["length", "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    found = ranked.join(F.broadcast(where), "length").withColumn("_slot", F.get(F.filter("slots", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"])), F.lit(0)))
+    ranked = dealt.select(*cut_pieces.columns, "_cell").withColumn("_rank", F.row_number().over(order) - 1)
+    ranked = ranked.join(offsets, ["length", "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    slot = F.filter("slots", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"]))
+    found = ranked.join(F.broadcast(where), "length").withColumn("_slot", F.get(slot, F.lit(0)))
     nth = F.col("_rank") - F.col("_slot.lo")
     placed = found.withColumns(
         {
