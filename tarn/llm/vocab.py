@@ -62,6 +62,10 @@ class Vocabulary:
         self.proper = {s: i for s, i in self.ids.items() if self.merge(s) == [i]}
         self.longest = max(map(len, self.proper))
 
+    def symbol(self, code: int) -> str:
+        """The symbol of a byte or, from 256 on, of a byte that ends a word."""
+        return self.alphabet[code] if code < 256 else chr(END + ord(self.alphabet[code - 256]))
+
     def merge(self, symbols: str) -> list[int]:
         """Exact merging: the lowest-ranked pair first, the leftmost of equals first."""
         parts = [self.ids[s] for s in symbols]
@@ -76,17 +80,14 @@ class Vocabulary:
         return parts
 
     def pieces(self, word: str) -> list[str]:
-        """The symbol strings of a chunk without white space or special tokens."""
+        """The lower-case pieces of a chunk without white space or special tokens."""
         if not word.isascii():
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        out, letters = [], self.alphabet
-        for piece in self.piece.findall(word.lower()):
-            s = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()])
-            out.append(s[:-1] + chr(END + ord(s[-1])))
-        return out
+        word = word.lower()
+        return [word] if word.isalpha() else self.piece.findall(word)
 
     def parts(self, chunk: str) -> list[tuple[str, int]]:
-        """A chunk without white space as (symbols, -1) and, for special tokens, ("", id)."""
+        """A chunk without white space as (piece, -1) and, for special tokens, ("", id)."""
         if "<|" not in chunk:
             return [(p, -1) for p in self.pieces(chunk)]
         out: list[tuple[str, int]] = []
