@@ -1,9 +1,9 @@
 """Token counts by a finite-state transducer compiled from the tokenizer.
 
 Inside a word, the state after i symbols is the longest suffix that may still
-grow into a token, together with the last token of the encoding at each place
-inside that suffix; this fixes every later step, so the states are finite. They
-are determinised as they are met. A transition carries the change of the token
+grow into a token, together with the last token of the encoding before each
+place inside it where a token may begin; this fixes every later step, so the
+states are finite. They are determinised as they are met. A transition carries the change of the token
 count, so that counting a word is a walk with additions and never builds tokens.
 
 A text is cut into blocks. The map of a block sends what is open at its left
@@ -33,19 +33,20 @@ EDGE = regex.compile(r"\p{White_Space}")
 
 
 class Transducer:
-    """Deterministic over symbols; arcs[state][symbol] = (next state, change of the count)."""
+    """Deterministic over 512 symbols; arcs[state << 9 | symbol] = next state << 8 | change of the count + 128."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.grows = {t[:k] for t in vocab.proper for k in range(1, len(t))}
+        self.symbols = [vocab.symbol(c) for c in range(512)]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        # A state: the open suffix; the last token at each place from its start to its end
-        # (-1 at a word's start); how much lower the count is at each of these places.
-        start = ("", (-1,), (0,))
-        self.states, self.number, self.arcs = [start], {start: 0}, [{}]
+        # A state: the open suffix; at each of its places where a token may begin, the last
+        # token before it (-1 at a word's start) and how much lower the count is there.
+        start = ("", ((-1, 0),))
+        self.states, self.number, self.arcs = [start], {start: 0}, {}
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging the symbols of both leaves the two tokens."""
@@ -69,33 +70,36 @@ class Transducer:
             self.pairs[a, b] = found
         return found
 
-    def arc(self, state: int, symbol: str) -> tuple[int, int]:
+    def arc(self, state: int, code: int) -> int:
         """Compiles one transition."""
-        suffix, last, lower = self.states[state]
-        grown = suffix + symbol
-        for at in range(len(grown)):  # of the tokens that end here, one fits what stands before it
-            token = self.vocab.proper.get(grown[at:])
-            if token is not None and (last[at] < 0 or self.apart(last[at], token)):
+        suffix, places = self.states[state]
+        grown, get, grows = suffix + self.symbols[code], self.vocab.proper.get, self.grows
+        for at, place in enumerate(places):  # of the tokens that end here, one fits what stands before it
+            if place and (token := get(grown[at:])) is not None and (place[0] < 0 or self.apart(place[0], token)):
                 break
-        delta = 1 - lower[at]
-        keep = next((k for k in range(len(grown)) if grown[k:] in self.grows), len(grown))
-        target = (grown[keep:], (*last, token)[keep:], (*[x + delta for x in lower], 0)[keep:])
+        delta = 1 - place[1]
+        keep = next((k for k in range(len(grown)) if places[k] and grown[k:] in grows), len(grown))
+        left = [(p[0], p[1] + delta) if (p := places[k]) and grown[k:] in grows else None for k in range(keep, len(grown))]
+        target = (grown[keep:], (*left, (token, 0)))
         if (n := self.number.get(target)) is None:
             n = self.number[target] = len(self.states)
             self.states.append(target)
-            self.arcs.append({})
-        self.arcs[state][symbol] = (n, delta)
-        return n, delta
+        out = self.arcs[state << 9 | code] = n << 8 | delta + 128
+        return out
 
-    def count(self, symbols: str) -> int:
-        """Tokens of one piece, its last symbol marked as a word's end."""
+    def count(self, piece: str) -> int:
+        """Tokens of one piece, whose last byte is the symbol that ends a word."""
         if len(self.states) > MAX_STATES:
             self.clear()
-        state, total, arcs = 0, 0, self.arcs
-        for s in symbols:
-            state, delta = arcs[state].get(s) or self.arc(state, s)
-            total += delta
-        return total
+        state, total, get = 0, 0, self.arcs.get
+        data = piece.encode()
+        for code in data[:-1]:
+            found = get(state << 9 | code) or self.arc(state, code)
+            state = found >> 8
+            total += (found & 255) - 128
+        code = data[-1] + 256
+        found = get(state << 9 | code) or self.arc(state, code)
+        return total + (found & 255) - 128
 
 
 class BlockMap(NamedTuple):
@@ -112,15 +116,22 @@ class Counter:
         self.vocab = vocabulary(path)
         self.transducer = Transducer(self.vocab)
         self.known: dict[str, int] = {}
+        self.known_pieces: dict[str, int] = {}
+
+    def piece(self, piece: str) -> int:
+        if (n := self.known_pieces.get(piece)) is None:
+            n = self.known_pieces[piece] = self.transducer.count(piece)
+        return n
 
     def words(self, words: list[str]) -> int:
         """Tokens of chunks without white space."""
         if missing := set(words).difference(self.known):
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known.clear()
+                self.known_pieces.clear()
                 missing = set(words)
             for w in missing:
-                self.known[w] = sum(self.transducer.count(p) if p else 1 for p, _ in self.vocab.parts(w))
+                self.known[w] = sum([self.piece(p) if p else 1 for p, _ in self.vocab.parts(w)])
         return sum(map(self.known.__getitem__, words))
 
     def block(self, text: str) -> BlockMap:
