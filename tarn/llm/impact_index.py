@@ -76,7 +76,7 @@ class BlockIndex:
         np.maximum.at(most_of, self.dim, middle)
         np.minimum.at(least_of, self.dim, middle)
         total_slack, segments = int(slack.sum()), np.bincount(self.dim, minlength=dims)
-        acc, left, read, step = np.zeros(n, dtype=np.int64), np.arange(n), 0, max(64, len(order) // 8)
+        acc, left, read, step = np.zeros(n, dtype=np.int64), np.arange(n), 0, max(16, len(order) // 8)
         while True:
             for s in order[read : read + step].tolist():
                 acc[self.posting[s]] += middle[s]
