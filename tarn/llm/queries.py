@@ -22,7 +22,7 @@ def op1_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = warc.archive_pages(spark, tables(spark, sf_dir, "pages"))
-    return warc.read_archives(manifest, folder)
+    return warc.read_archives(manifest, folder).drop("url")
 
 
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,47 @@ QUERIES = {
     "op10_divergence_rules": op10_divergence_rules,
 }
 
+#: Words of a text, as a list.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_index": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, pos, array_to_string(list_slice(ws, pos, pos + 19), ' ') AS k
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS pos FROM d WHERE len(ws) >= 20)
+        ),
+        later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM windows) WHERE nth > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM later),
+        words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op2_warc_normaliser": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS data, sha1(coalesce(html, '')) AS h FROM pages),
+        kept AS (SELECT h, max(page_id) AS kept_id FROM p GROUP BY h)
+        SELECT page_id, CAST(octet_length(data) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                   ((16 * (strpos('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1)
+                     + strpos('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1) >> (3 - (5 * i) % 4)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = kept_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> kept_id THEN kept_id END AS refers_to
+        FROM p JOIN kept USING (h)
+    """,
+    "op8_minmax_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(ws, pos, pos + 4), ' ') AS k
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS pos FROM d WHERE len(ws) > 0)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+        SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reach.y) AS component_id, min(reach.y) = d.doc_id AS kept
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id
+    """,
     "op6_impact_ordered_topk": """
         WITH fit AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
