@@ -7,13 +7,16 @@ none of them with a probability below 1e-10. Every link is confirmed on the full
 shingle sets, and nothing is linked that is not confirmed.
 
 Documents with one shingle set form a class that takes part once. Within a
-bucket no pairs are listed: its members are compared with one pivot, connected
-components are found, and only buckets whose members are still apart go on, with
-the next pivot or, when few members are left, each with each. A pair of one
-bucket thus stays untested only where both are connected already, which no test
-could change. Pivots and members meet in joins by key that Spark may split;
-counts and minima are aggregated before they are shuffled; components shrink to
-stars by large-star and small-star steps, distributed at every size.
+bucket no pairs are listed: its members are compared with one pivot, and connected
+components are found. Buckets whose members are still apart are joined into
+families, and inside a family every document outside its largest component is
+searched against all members of other components: blocks of such queries meet
+blocks of members in cells of a bounded size, where overlaps are counted on full
+sets and one link for each component found is returned. Every pair of a bucket is
+thus compared unless both are connected already, which no comparison could change.
+Pivots and members meet in joins by key that Spark may split; counts and minima
+are aggregated before they are shuffled; components shrink to stars by large-star
+and small-star steps, distributed at every size.
 
 Defined results: documents without words have n_shingles 0 and link with
 nothing; a null id takes no part and is kept; rows that repeat an id are one
@@ -32,8 +35,8 @@ from tarn.llm.common import Workspace, map_texts
 WORDS = 5
 PERCENT = 85
 PERMUTATIONS, ROWS, BANDS = 64, 4, 32
-#: Members that are compared each with each once a bucket is down to them.
-FEW = 16
+#: Queries and members of a family that meet in one cell, about.
+BLOCK = 512
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,36 +172,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, work: Workspace | None
     members = work.table(banded.join(shared, "bucket"), "members")
     needed = members.select(F.col("rep").alias("doc_id"), "set_key").distinct()
     texts = work.table(_texts(docs, needed, not same.isEmpty()), "texts")
-    tested = links = label = None
-    turn, open_ = 0, members.withColumns({"label": F.col("rep"), "c": F.lit(FEW + 1).cast("long")})
-    while True:
-        pivots = open_.where(F.col("c") > FEW).groupBy("bucket").agg(F.min(_member()).alias("p"))
-        pairs = _pairs(open_, pivots, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.table(pairs, f"pairs-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = work.table(confirm(pairs, texts, percent), f"links-{turn}")
-        links = found if links is None else links.union(found)
-        edges = links.join(reps.toDF("a", "u"), "a").join(reps.toDF("b", "v"), "b").select("u", "v")
-        label = components(edges.union(same), Workspace(spark, f"minmax-{turn}"))
-        # A pivot is done, and so is a bucket of few members. The others go on while some are apart.
-        rest = open_.where(F.col("c") > FEW).join(pivots, "bucket").where(F.col("p.set_key") != F.col("set_key")).select("bucket", "set_key", "rep", "n")
-        rest = rest.join(label.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        apart = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y").select("bucket", "c")
-        open_ = work.table(rest.join(apart, "bucket"), f"open-{turn}")
-        turn += 1
-        if open_.isEmpty():
-            break
+    links = work.table(confirm(_star_pairs(members, percent), texts, percent), "links")
+    edges = links.join(reps.toDF("a", "u"), "a").join(reps.toDF("b", "v"), "b").select("u", "v").union(same)
+    label = components(edges, Workspace(spark, "minmax-stars"))
+    found = work.table(_within_families(members, label, texts, percent), "found")
+    if not found.isEmpty():
+        label = components(edges.union(found), Workspace(spark, "minmax-all"))
     named = signed.join(reps, "set_key", "left").join(label.toDF("rep", "label"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _member():
-    return F.struct("rep", "set_key", "n", "label")
-
-
 def _texts(docs: DataFrame, needed: DataFrame, ambiguous: bool) -> DataFrame:
     """set_key and text of the needed classes; ambiguous if an id may stand for several texts."""
     found = docs.join(needed, "doc_id")
@@ -208,15 +192,56 @@ def _texts(docs: DataFrame, needed: DataFrame, ambiguous: bool) -> DataFrame:
     return found.groupBy("set_key").agg(F.first("text").alias("text")) if ambiguous else found.select("set_key", "text")
 
 
-def _pairs(open_: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs a, b: members with their bucket's pivot, few members each with each.
-
-    Left out are pairs that are connected already or whose sizes alone rule a link out.
-    """
-    few = open_.where(F.col("c") <= FEW)
-    each = few.join(few.groupBy("bucket").agg(F.collect_list(_member()).alias("ps")), "bucket").withColumn("p", F.explode("ps")).drop("ps")
-    met = each.unionByName(open_.where(F.col("c") > FEW).join(pivots, "bucket"))
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a, b of a bucket's first member with the others, but for sizes that rule a link out."""
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "set_key", "n")).alias("p"))
+    met = members.join(pivots, "bucket").where(F.col("p.set_key") != F.col("set_key"))
     small, large = F.least("p.n", "n"), F.greatest("p.n", "n")
-    ordered = F.struct("p.rep", "p.set_key") < F.struct("rep", "set_key")
-    pairs = met.where(ordered & (F.col("p.label") != F.col("label")) & (100 * small >= percent * large))
-    return pairs.select(F.col("p.set_key").alias("a"), F.col("set_key").alias("b")).distinct()
+    return met.where(100 * small >= percent * large).select(F.col("p.set_key").alias("a"), F.col("set_key").alias("b")).distinct()
+
+
+def _within_families(members: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between documents of one family that label leaves apart."""
+    spark = members.sparkSession
+    own = Workspace(spark, "minmax-families")
+    marked = members.select("bucket", "set_key", "rep").join(label.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    pivots = marked.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket", "pivot")
+    apart = own.table(marked.join(pivots, "bucket").select("set_key", "rep", "label", "pivot").distinct(), "apart")
+    family = components(apart.select(F.col("rep").alias("u"), F.col("pivot").alias("v")), Workspace(spark, "minmax-families"))
+    docs = apart.select("set_key", "rep", "label").distinct().join(family.toDF("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    docs = own.table(docs, "docs")
+    sizes = docs.groupBy("family", "label").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("family").agg(F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sized = docs.join(sizes.select("family", "main", blocks(F.col("k")).alias("mb"), F.greatest(blocks(F.col("k") - F.col("most")), F.lit(1)).alias("qb")), "family")
+    deal = lambda n: F.pmod(F.xxhash64("set_key"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    core = sized.select("family", "set_key", "rep", "label", F.lit(False).alias("asks"), deal(F.col("mb")).alias("i"), every(F.col("qb")).alias("j"))
+    asks = sized.where("label <> main").select("family", "set_key", "rep", "label", F.lit(True).alias("asks"), every(F.col("mb")).alias("i"), deal(F.col("qb")).alias("j"))
+    cells = core.unionByName(asks).join(texts, "set_key").select("family", "i", "j", "rep", "label", "asks", "text")
+
+    def search(table):
+        import pyarrow as pa
+
+        words = WordHashes()
+        asking, rep, component = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "rep", "label"))
+        sets = [shingles(t.as_py(), words) for t in table.column("text")]
+        core, u, v = np.flatnonzero(~asking), [], []
+        if len(core) and asking.any():
+            size = np.array([len(sets[i]) for i in core])
+            known, at = np.unique(np.concatenate([sets[i] for i in core]), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            held = np.zeros(len(known), dtype=bool)
+            for q in np.flatnonzero(asking).tolist():
+                place = np.minimum(np.searchsorted(known, sets[q]), len(known) - 1)
+                place = place[known[place] == sets[q]]
+                held[place] = True
+                common = np.add.reduceat(held[at].astype(np.int64), starts)
+                held[place] = False
+                linked = core[(100 * common >= percent * (size + len(sets[q]) - common)) & (component[core] != component[q])]
+                _, first = np.unique(component[linked], return_index=True)
+                u += [rep[q]] * len(first)
+                v += rep[linked[first]].tolist()
+        return pa.table({"u": pa.array(u, type=pa.int64()), "v": pa.array(v, type=pa.int64())})
+
+    return cells.groupBy("family", "i", "j").applyInArrow(search, "u long, v long")
