@@ -5,7 +5,7 @@ dimension has posting segments, one for each quantised level of the component:
 the vectors whose component lies in [level * STEP, level * STEP + STEP). For a
 query, a segment's impact is the query's component times the level's middle.
 Segments of all dimensions are processed by descending impact size, adding to
-accumulators. What is still unread bounds each score from both sides: a vector
+the accumulators of a batch of queries at once. What is still unread bounds each score from both sides: a vector
 is out once its upper bound is below the k-th best lower bound. Processing
 stops only when few enough vectors are left, or nothing is unread, and exactly
 these possible members are rescored from their full vectors. Block results are
@@ -32,6 +32,8 @@ from tarn.llm.common import Workspace
 STEP = 16
 BLOCK_ROWS = 8_192
 GROUP_QUERIES = 4_096
+#: Queries that share accumulators, and rounds of reading between two tests of the bounds.
+BATCH_QUERIES, ROUNDS = 128, 6
 #: Possible members that are rescored without reading further segments.
 FEW = 256
 BOUND = 1 << 24
@@ -63,20 +65,28 @@ class BlockIndex:
         self.low = np.array([vectors[p, d].min() for d, _, p in segments], dtype=np.int64)
         self.high = np.array([vectors[p, d].max() for d, _, p in segments], dtype=np.int64)
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best, and the number of segments read."""
-        dims, n = len(q), len(self.ids)
-        qd = q[self.dim]
-        low, high = np.minimum(qd * self.low, qd * self.high), np.maximum(qd * self.low, qd * self.high)
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """(ids, scores) of the k best for each row of queries, and how many segments were read.
+
+        The queries of a batch share one order of segments, by their largest impact on any of them.
+        """
+        (m, dims), n = queries.shape, len(self.ids)
+        qd = queries.T[self.dim]  # a row for each segment, a column for each query
+        a, b = qd * self.low[:, None], qd * self.high[:, None]
+        low, high = np.minimum(a, b), np.maximum(a, b)
         middle = (low + high) // 2
-        order = np.argsort(-np.abs(middle), kind="stable")
+        order = np.argsort(-np.abs(middle).max(axis=1), kind="stable")
         # A component's part of the score is its segment's middle, give or take this much.
-        slack, most_of, least_of = (np.full(dims, x, dtype=np.int64) for x in (0, -(1 << 61), 1 << 61))
+        slack, most_of, least_of = (np.full((dims, m), x, dtype=np.int64) for x in (0, -(1 << 61), 1 << 61))
         np.maximum.at(slack, self.dim, high - middle)
         np.maximum.at(most_of, self.dim, middle)
         np.minimum.at(least_of, self.dim, middle)
-        total_slack, segments = int(slack.sum()), np.bincount(self.dim, minlength=dims)
-        acc, left, read, step = np.zeros(n, dtype=np.int64), np.arange(n), 0, max(16, len(order) // 8)
+        total_slack, segments = slack.sum(axis=0), np.bincount(self.dim, minlength=dims)
+        reach = int(np.abs(middle).max(initial=0)) * dims
+        kind = np.int32 if reach < 1 << 30 else np.int64
+        acc, middle = np.zeros((n, m), dtype=kind), middle.astype(kind)
+        own = self.ids[:, None] == query_ids[None, :]
+        alive, read, step = ~own, 0, max(16, len(order) // ROUNDS)
         while True:
             for s in order[read : read + step].tolist():
                 acc[self.posting[s]] += middle[s]
@@ -84,27 +94,25 @@ class BlockIndex:
             rest = order[read:]
             # What unread segments of a dimension can still add: nothing if the vector's own was
             # read, which is unknown unless none of the dimension was.
-            up, down = np.zeros(dims, dtype=np.int64), np.zeros(dims, dtype=np.int64)
+            up, down = np.zeros((dims, m), dtype=np.int64), np.zeros((dims, m), dtype=np.int64)
             np.maximum.at(up, self.dim[rest], middle[rest])
             np.minimum.at(down, self.dim[rest], middle[rest])
-            untouched = (np.bincount(self.dim[rest], minlength=dims) == segments) & (segments > 0)
-            up = int(np.where(untouched, most_of, up).sum())
-            down = int(np.where(untouched, least_of, down).sum())
-            own = self.ids[left] == query_id
-            seen = acc[left]
-            least = np.where(own, -(1 << 62), seen + down - total_slack)
-            most = seen + up + total_slack
-            if len(left) > k:
-                floor = np.partition(least, len(least) - k)[len(least) - k]
-                left = left[(most >= floor) & ~own]
-            else:
-                left = left[~own]
-            if len(left) <= max(FEW, k) or not len(rest):
+            untouched = ((np.bincount(self.dim[rest], minlength=dims) == segments) & (segments > 0))[:, None]
+            up = np.where(untouched, most_of, up).sum(axis=0) + total_slack
+            down = np.where(untouched, least_of, down).sum(axis=0) - total_slack
+            if n > k:
+                least = np.where(own, -(1 << 62), acc + down)
+                floor = np.partition(least, n - k, axis=0)[n - k]
+                alive &= acc + up >= floor
+            if not len(rest) or alive.sum(axis=0).max(initial=0) <= max(FEW, k):
                 break
-        scores = self.vectors[left] @ q
-        ids = self.ids[left]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best], read
+        out = []
+        for j in range(m):
+            left = np.flatnonzero(alive[:, j])
+            scores, ids = self.vectors[left] @ queries[j], self.ids[left]
+            best = np.lexsort((ids, -scores))[:k]
+            out.append((ids[best], scores[best]))
+        return out, read
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
@@ -137,11 +145,13 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK
             width = max(max(map(len, vectors)), max(len(x["v"]) for x in packed))
             block = BlockIndex(left.column("vec_id").to_numpy(), _matrix(vectors, width))
             del vectors
-            for x in packed:
-                ids, scores, _ = block.top(x["vec_id"], _matrix([x["v"]], width)[0], k)
-                out["query_id"] += [x["vec_id"]] * len(ids)
-                out["vec_id"] += ids.tolist()
-                out["score"] += scores.tolist()
+            for at in range(0, len(packed), BATCH_QUERIES):
+                some = packed[at : at + BATCH_QUERIES]
+                found, _ = block.top(np.array([x["vec_id"] for x in some]), _matrix([x["v"] for x in some], width), k)
+                for x, (ids, scores) in zip(some, found, strict=True):
+                    out["query_id"] += [x["vec_id"]] * len(ids)
+                    out["vec_id"] += ids.tolist()
+                    out["score"] += scores.tolist()
         return pa.table(out, schema=pa.schema([(c, pa.int64()) for c in out]))
 
     met = index.groupBy("block", "g").cogroup(asked.groupBy("block", "g")).applyInArrow(answer, "query_id long, vec_id long, score long")

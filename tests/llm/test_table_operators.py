@@ -67,8 +67,8 @@ def test_top_k_stops_early_on_proof():
     vectors = rng.integers(-10, 10, (3000, 16))
     vectors[7] = 90
     block = impact_index.BlockIndex(np.arange(3000), vectors)
-    ids, scores, read = block.top(-1, vectors[7] + 1, 1)
-    assert ids.tolist() == [7] and scores[0] == (vectors[7] * (vectors[7] + 1)).sum()
+    found, read = block.top(np.array([-1, -2]), np.stack([vectors[7] + 1, vectors[7] + 5]), 1)
+    assert [x.tolist() for x, _ in found] == [[7], [7]] and found[0][1][0] == (vectors[7] * (vectors[7] + 1)).sum()
     assert read < len(block.posting)
 
 
