@@ -158,13 +158,17 @@ def references(found: DataFrame, params: QualityParams = QualityParams()) -> dic
 
     found: of features(). One row for each language of params reaches the driver.
     """
-    guarded = found.where((F.col("n_words") >= params.guard_words) & (F.col("_n") >= params.guard_chars))
+    # Not a filter, which would be pushed below the counts and have them evaluated twice.
+    guard = (F.col("n_words") >= params.guard_words) & (F.col("_n") >= params.guard_chars)
     out = {}
     wide = {x: len(ws) + 1 for x, ws in params.common_words.items()}
-    shares = guarded.where(F.col("_lang").isin(*wide)).select("_lang", _shares(F.col("hist_chars")).alias("c"), _shares(F.coalesce(*[F.col(f"hist_{x}") for x in wide])).alias("w"))
+    own = F.coalesce(*[F.col(f"hist_{x}") for x in wide])
+    shares = found.where(F.col("_lang").isin(*wide)).select("_lang", F.when(guard, _shares(F.col("hist_chars"))).alias("c"), F.when(guard, _shares(own)).alias("w"))
     means = [F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(6)] + [F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(max(wide.values()))]
     for row in shares.groupBy("_lang").agg(*means).collect():
         name = row["_lang"]
+        if row["c0"] is None:  # no document above the guards
+            continue
         out[name] = ([round(row[f"c{i}"], 6) for i in range(6)], [round(row[f"w{i}"], 6) for i in range(wide[name])])
     return out
 
@@ -201,3 +205,12 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), text
     """docs with counts, distances, base_failed and kept; the references come from docs itself."""
     found = features(docs, docs.columns, params, text, lang)
     return verdict(found, references(found, params), params)
+
+
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The kept rows of quality_rules().
+
+    A filter on the verdict would be pushed below the counts, which would then be
+    spelled out, and evaluated, again and again inside it; row numbers hold it back.
+    """
+    return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0").drop("_row")
