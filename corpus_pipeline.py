@@ -16,6 +16,9 @@ from tarn.llm import minmax, packing, quality, substring_index, toxicity
 from tarn.llm.common import Workspace, tables
 from tarn.llm.queries import vocabulary_file
 
+#: Word shingles that near-duplicates share at least, of all that they hold; op8 has its own value.
+NEAR_PERCENT = 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, tables(spark, sf_dir, "labels"), Workspace(spark, "toxicity"))
@@ -28,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minmax.near_duplicates(spark, docs)
+    found = minmax.near_duplicates(spark, docs, percent=NEAR_PERCENT)
     kept = docs.join(found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id").select(*docs.columns)
     # Rows that repeat an id and its text are copies of one document.
     kept = kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")

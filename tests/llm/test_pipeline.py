@@ -21,3 +21,26 @@ def test_stages_keep_their_contract(spark, sf, tmp_path):
             assert held[0] == docs.count() and held[2] * 1024 >= held[1]
     assert kept[0] > kept[1] > kept[2] >= kept[3] == kept[4] > kept[0] // 2
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_duplicates", "substring_dedup", "best_fit_packing"]
+
+
+def test_near_duplicate_stage_equals_brute_force(spark, sf):
+    """The documents, and pairs of 196 shingles each that share 186, 176 (0.815) and 173 (0.790) of them."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    for k, changed in enumerate((10, 20, 23)):
+        own = [f"w{k}x{i}" for i in range(200)]
+        texts[900_000 + 2 * k] = " ".join(own)
+        texts[900_001 + 2 * k] = " ".join(own[: 200 - changed] + [f"new{k}x{i}" for i in range(changed)])
+    sets = {}
+    for d, text in texts.items():
+        own = (text or "").encode().lower().split()
+        sets[d] = {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+    label = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in links:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()}
+    assert got == {d for d in sets if label[d] == d}
+    assert not {900_001, 900_003} & got and 900_005 in got
