@@ -3,7 +3,9 @@
 Native DataFrame expressions only, no shuffle of texts: features() counts inside
 each row, references() averages the character-class and common-word histograms
 of every long enough document by language (a tiny aggregate), verdict() compares
-each document with its language's reference by Jensen-Shannon distance.
+each document with its language's reference by Jensen-Shannon distance. The
+bound on the word distance follows from each reference: it lies below the distance
+of a text that holds none of the common words.
 
 Defined results: a null text counts as empty; empty and short texts fail the
 base rules; a null or unknown language is held against the nearest reference;
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from math import log2, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +40,17 @@ OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 @dataclass(frozen=True)
 class QualityParams:
-    """min_words and max_repeat_percent are the base rules; the rest is the divergence verdict."""
+    """min_words and max_repeat_percent are the base rules; the rest is the divergence verdict.
+
+    max_word_share is a share of the word distance that a text without common words has.
+    """
 
     min_words: int = 10
     max_repeat_percent: int = 20
     guard_chars: int = 200
     guard_words: int = 60
     max_char_distance: float = 0.31
-    max_word_distance: float = 0.55
+    max_word_share: float = 0.85
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -112,6 +118,13 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.round(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda x, y: x + y))), 6)
 
 
+def wordless_distance(shares: list[float]) -> float:
+    """js_distance of a text without common words from a reference's word shares, the last of them for all other words."""
+    rest = shares[-1]
+    common = sum(shares) - rest
+    return sqrt(max(0.0, (log2(2 / (1 + rest)) + common + (rest * log2(2 * rest / (1 + rest)) if rest else 0.0)) / 2))
+
+
 def features(docs: DataFrame, keep: list[str], params: QualityParams = QualityParams(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The columns in keep, the counts, and two histograms: hist_chars and, for each language, hist_<lang>.
 
@@ -180,24 +193,35 @@ def verdict(found: DataFrame, refs: dict, params: QualityParams = QualityParams(
     def literal(shares) -> Column:
         return F.array(*[F.lit(float(x)) for x in shares])
 
-    def nearest(distance) -> Column:
-        each = {x: distance(x) for x in known}
+    def nearest(distance, most) -> Column:
+        """The distance d from the nearest reference, and the most that it allows."""
+
+        def measured(x) -> Column:
+            return let(distance(x), lambda d: F.when(d.isNotNull(), F.struct(d.alias("d"), F.lit(most(x)).alias("most"))))
+
+        none = F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("most"))
+        each = {x: measured(x) for x in known}
         if not each:
-            return F.lit(None).cast("double")
+            return F.lit(None).cast("struct<d:double,most:double>")
         own = reduce(lambda c, x: c.when(F.col("_lang") == x, each[x]), known[1:], F.when(F.col("_lang") == known[0], each[known[0]]))
-        return own.otherwise(F.least(*each.values(), F.lit(1.0), F.lit(1.0)))
+        return own.otherwise(F.least(*each.values(), none, none))
+
+    def most_words(x) -> float:
+        # A reference without common words says nothing about them.
+        return params.max_word_share * wordless_distance(refs[x][1]) or 1.0
 
-    char_d = let(_shares(F.col("hist_chars")), lambda c: nearest(lambda x: js_distance(c, literal(refs[x][0]))))
-    word_d = nearest(lambda x: js_distance(_shares(F.col(f"hist_{x}")), literal(refs[x][1])))
+    char_d = let(_shares(F.col("hist_chars")), lambda c: nearest(lambda x: js_distance(c, literal(refs[x][0])), lambda x: params.max_char_distance))
+    word_d = nearest(lambda x: js_distance(_shares(F.col(f"hist_{x}")), literal(refs[x][1])), most_words)
     out = found.withColumns(
         {
-            "char_distance": F.when(F.col("_n") >= params.guard_chars, char_d),
-            "word_distance": F.when(n >= params.guard_words, word_d),
+            "_char": F.when(F.col("_n") >= params.guard_chars, char_d),
+            "_word": F.when(n >= params.guard_words, word_d),
             "base_failed": (n < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * n),
         }
     )
-    far = [F.coalesce(F.col(c) > most, F.lit(False)) for c, most in (("char_distance", params.max_char_distance), ("word_distance", params.max_word_distance))]
-    out = out.withColumn("kept", ~F.col("base_failed") & ~far[0] & ~far[1])
+    far = [F.coalesce(F.col(c)["d"] > F.col(c)["most"], F.lit(False)) for c in ("_char", "_word")]
+    out = out.withColumns({"char_distance": F.col("_char")["d"], "word_distance": F.col("_word")["d"], "kept": ~F.col("base_failed") & ~far[0] & ~far[1]})
+    out = out.select(*[c for c in out.columns if c not in ("_char", "_word", "base_failed", "kept")], "base_failed", "kept")
     return out.drop("_lang", "_n", "hist_chars", *[f"hist_{x}" for x in params.common_words])
 
 

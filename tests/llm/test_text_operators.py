@@ -272,6 +272,22 @@ def test_divergence_drops_junk_and_keeps_prose(spark, sf):
     assert got == {1: True, 2: False, 3: False}
 
 
+def test_word_rule_alone_drops_texts_without_common_words(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    found = quality.features(docs, ["doc_id"])
+    refs = quality.references(found)
+    prose = docs.where("doc_id = 0").first()["text"]
+    common = {w for ws in quality.COMMON_WORDS.values() for w in ws}
+    salad = " ".join("x" * len(w) if w in common else w for w in prose.split(" "))
+    made = spark.createDataFrame([(1, prose, "fr"), (2, salad, "fr"), (3, salad, None), (4, prose, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.verdict(quality.features(made, ["doc_id"]), refs).collect()}
+    assert all(r["char_distance"] <= quality.QualityParams.max_char_distance and not r["base_failed"] for r in got.values())
+    assert {i: r["kept"] for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True}
+    assert abs(got[2]["word_distance"] - quality.wordless_distance(refs["fr"][1])) < 1e-4
+    bare = refs | {"fr": (refs["fr"][0], [0.0] * (len(refs["fr"][1]) - 1) + [1.0])}
+    assert all(r["kept"] for r in quality.verdict(quality.features(made.where("lang = 'fr'"), ["doc_id"]), bare).collect())
+
+
 def test_toxicity_learns_from_training_folds_only(spark, empty):
     from tarn.llm.common import Workspace
 
