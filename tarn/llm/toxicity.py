@@ -36,7 +36,7 @@ from tarn.llm.common import Workspace, map_texts
 #: Labelled rows that are read at most.
 SAMPLE = 20_000
 #: Lexicon entries that are mined at most; the toxic documents that must hold one, and the share of those at least.
-MINED, LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION = 256, 5, 0.005, 0.97
+MINED, LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION = 256, 5, 0.005, 0.9
 GROUPS = 8
 STARTS = (4, 5, 6)
 FOLDS = 5
@@ -231,12 +231,12 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace) -> Model:
 
     def make():
         own = Lexicon(entries)
-        return lambda texts: {"x": [own.features(t)[1].tolist() for t in texts]}
+        return lambda texts: {"x": [own.features(t)[1].tobytes() for t in texts]}
 
     # A row for each distinct input with its weight would do too; the sample is bounded.
-    rows = map_texts(sample.select("text"), make, {"x": "array<double>"}).collect()
+    rows = map_texts(sample.select("text"), make, {"x": "binary"}).collect()
     width = VOTERS + 3 + len(entries)
-    x = np.array([r["x"] for r in rows]).reshape(-1, width)
+    x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(-1, width)
     weights = fit_linear(x, model.posterior(x[:, :VOTERS])) if len(x) else np.concatenate([np.full(width, 1.0), [-4.0]])
     return Model(entries, model, weights)
 

@@ -308,6 +308,15 @@ def test_toxicity_learns_from_training_folds_only(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_mining_keeps_entries_with_a_few_clean_rows(spark):
+    rows = [(f"zorgface number {i}", 1) for i in range(27)] + [("a zorgface again", 0), ("one zorgface more", 0)]
+    rows += [(f"blixtword number {i}", 1) for i in range(16)] + [("a blixtword again", 0)]
+    rows += [(f"mixed number {i}", i % 2) for i in range(40)] + [(f"calm report number {i}", 0) for i in range(60)]
+    got = toxicity.mine(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {"zorgface", "zorgfa-", "blixtword", "blixtw-"} <= set(got)
+    assert not {"mixed", "number", "calm"} & set(got)
+
+
 def test_label_model_recovers_voters():
     rng = np.random.default_rng(3)
     y = rng.random(40_000) < 0.2
