@@ -151,6 +151,22 @@ def _(lake, p):
     return a.join(b, "k").select("o_orderkey", "l_linenumber")
 
 
+# Whole tables, where one null key holds a good part of the rows; the right side has a row a key, or is only looked up.
+@query("join_null_keys_whole", "WITH a AS (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS k FROM orders), b AS (SELECT nullif(l_linestatus, 'F') AS k, count(*) AS n, max(l_tax) AS top FROM lineitem GROUP BY 1) SELECT a.o_orderkey, b.n, b.top FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k")
+def _(lake, p):
+    a = lake.path(p["orders"]).project(o_orderkey=x.col("o_orderkey"), k=x.fn("nullif", x.col("o_orderstatus"), "F"))
+    b = lake.path(p["lineitem"]).project(k=x.fn("nullif", x.col("l_linestatus"), "F"), l_tax=x.col("l_tax")).frame()
+    b = Lake(lake.spark, tables={"b": b}).table("b").group_by("k").aggregate({"n": "count", "top": ("max", "l_tax")})
+    return a.join(b, "k").select("o_orderkey", "n", "top")
+
+
+@query("join_null_keys_semi", "WITH a AS (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS k FROM orders), b AS (SELECT nullif(l_linestatus, 'F') AS k FROM lineitem) SELECT a.o_orderkey FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.k IS NOT DISTINCT FROM b.k)")
+def _(lake, p):
+    a = lake.path(p["orders"]).project(o_orderkey=x.col("o_orderkey"), k=x.fn("nullif", x.col("o_orderstatus"), "F"))
+    b = lake.path(p["lineitem"]).project(k=x.fn("nullif", x.col("l_linestatus"), "F"))
+    return a.join(b, "k", "k", "semi").select("o_orderkey")
+
+
 @query("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_tax AS tax FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE b.l_quantity > 45")
 def _(lake, p):
     right = lake.path(p["lineitem"]).project(l_orderkey=x.col("l_orderkey"), l_linenumber=x.col("l_linenumber"), tax=x.col("l_tax")).where(x.gt(x.col("l_quantity"), 45))
@@ -181,6 +197,7 @@ sql("subquery_in_tuple", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l
 sql("subquery_scalar_where", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
 sql("subquery_scalar_projection", "SELECT n_name, (SELECT count(*) FROM region) AS regions FROM nation")
 sql("cte_filter", "WITH big AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 250000) SELECT o_orderkey FROM big WHERE o_custkey < 500")
+sql("cte_filter_value", "WITH big AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 250000) SELECT o_orderkey FROM big WHERE o_orderstatus <> 'F'")
 sql("cte_aggregate", "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS customers FROM t GROUP BY n")
 
 # Order, limit, distinct.
@@ -267,6 +284,12 @@ def _(lake, p):
     return grouped.aggregate({"n": "count", "top": ("max", "o_totalprice")}, having=x.gt(x.col("n"), 5), order_by=(Order("n", True), Order("o_orderstatus")), limit=2, max_groups=100)
 
 
+@query("builder_aggregate_value", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_totalprice < 150000 GROUP BY o_orderstatus HAVING count(*) > 5 ORDER BY n DESC, o_orderstatus LIMIT 2")
+def _(lake, p):
+    grouped = lake.path(p["orders"]).where(x.lt(x.col("o_totalprice"), 150000)).group_by("o_orderstatus")
+    return grouped.aggregate({"n": "count", "top": ("max", "o_totalprice")}, having=x.gt(x.col("n"), 5), order_by=(Order("n", True), Order("o_orderstatus")), limit=2, max_groups=100)
+
+
 add(
     "policy_row_filter",
     lambda spark, sf: Lake(spark, policy=Policy(("o_orderkey", "o_orderstatus", "o_custkey"), 30, lambda c: x.lt(x.col("o_custkey"), c["most"]), {"most": 300})).path(f"{sf}/orders.parquet").order_by("o_orderkey").frame(),
