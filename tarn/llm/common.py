@@ -55,15 +55,29 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns of df but some as one, row, whose names cannot clash with an operator's own."""
+    names = [c for c in df.columns if c not in without]
+    return F.struct(*[F.col(f"`{c}`") for c in names], *([] if names else [F.lit(None).cast("string").alias("_none")])).alias("row")
+
+
+def unpacked(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
+    """The columns that row holds, then the outputs; of equal names, in whatever case, the output stays."""
+    taken = {c.lower() for c in outputs} | {"_none"}
+    own = [c for c in df.schema["row"].dataType.names if c.lower() not in taken]
+    return df.select(*[F.col("row").getField(c).alias(c) for c in own], *[v.alias(c) for c, v in outputs.items()])
+
+
 def map_texts(df: DataFrame, make, fields: dict[str, str], text: str = "text") -> DataFrame:
     """df without `text` but with the columns of `fields`, made from each whole text in Arrow batches.
 
     make() runs once for each task and gives a function from a list of texts
-    (None for null) to {name: list}. Input columns named like a field are dropped.
+    (None for null) to {name: list}. Input columns named like a field, in whatever case, are dropped.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(1000, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
-    keep = [c for c in df.columns if c != text and c not in fields]
+    taken = {c.lower() for c in (text, *fields)}
+    keep = [c for c in df.columns if c.lower() not in taken]
     df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     schema = T.StructType([*df.schema.fields[:-1], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()]])
 
