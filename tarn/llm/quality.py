@@ -1,17 +1,20 @@
 """Quality rules: counts over whole texts, then divergence from language references.
 
-Native DataFrame expressions only, no shuffle of texts: features() counts inside
-each row, references() averages the character-class and common-word histograms
-of every long enough document by language (a tiny aggregate), verdict() compares
-each document with its language's reference by Jensen-Shannon distance. The
-bound on the word distance follows from each reference: it lies below the distance
-of a text that holds none of the common words.
+Native DataFrame expressions only, no shuffle and one pass: features() counts inside
+each row, verdict() compares the character-class and common-word histograms of each
+document with its language's reference by Jensen-Shannon distance. The bound on the
+word distance follows from each reference: it lies below the distance of a text that
+holds none of the common words.
+
+The references are fixed values, so a corpus full of junk does not move them;
+references() fits others on documents that are known to be good.
 
 Defined results: a null text counts as empty; empty and short texts fail the
-base rules; a null or unknown language is held against the nearest reference;
-texts under the length guards are not judged by distance; repeated rows are
-judged alike, each on its own. Input columns that share a name with an output
-column are replaced by it.
+base rules; a null or empty language is held against the nearest reference, and a
+language without a reference is judged by the base rules alone; texts under the
+length guards are not judged by distance; repeated rows are judged alike, each on
+its own. Input columns that share a name with an output column, in whatever case,
+are replaced by it; no other input column is touched, whatever its name.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from math import log2, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SPACES, let
+from tarn.llm.common import SPACES, let, packed, unpacked
 
 # Frequent function words of each supported language.
 COMMON_WORDS = {
@@ -32,10 +35,29 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al".split(),
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au elle".split(),
 }
+# Mean shares of the documents labelled good at scale factor 0.1, 3,409 rows. First upper case, digits, white
+# space, symbols, punctuation and all else among the characters; then the common words, in order, and all else among the words.
+REFERENCES = {
+    "de": (
+        [0.0132, 0.0008, 0.1546, 0.0, 0.0221, 0.8094],
+        [0.0497, 0.0259, 0.0207, 0.0156, 0.0136, 0.0105, 0.009, 0.0086, 0.0074, 0.0069, 0.0058, 0.006, 0.0044, 0.0045, 0.0042, 0.0036, 0.0042, 0.0043, 0.0033, 0.0001, 0.7917],
+    ),
+    "en": (
+        [0.0144, 0.0009, 0.1664, 0.0, 0.0243, 0.794],
+        [0.0501, 0.0261, 0.0217, 0.0158, 0.0108, 0.0083, 0.0097, 0.0063, 0.0072, 0.0073, 0.0052, 0.0049, 0.0, 0.0061, 0.0045, 0.0038, 0.0044, 0.0039, 0.0041, 0.0022, 0.7977],
+    ),
+    "es": (
+        [0.0143, 0.0009, 0.1615, 0.0, 0.0237, 0.7995],
+        [0.0515, 0.0252, 0.0205, 0.0147, 0.0132, 0.0103, 0.0, 0.0093, 0.0079, 0.0067, 0.0076, 0.006, 0.0063, 0.0052, 0.0047, 0.0046, 0.0042, 0.0045, 0.0038, 0.004, 0.7897],
+    ),
+    "fr": (
+        [0.0146, 0.0019, 0.1663, 0.0, 0.0244, 0.7929],
+        [0.0502, 0.0267, 0.0199, 0.015, 0.0123, 0.0117, 0.01, 0.0087, 0.0073, 0.0064, 0.006, 0.0058, 0.0057, 0.0046, 0.0047, 0.004, 0.0, 0.0039, 0.0041, 0.0019, 0.7914],
+    ),
+}
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"-()"
 GRAM = 5
-OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
 
 
 @dataclass(frozen=True)
@@ -43,6 +65,7 @@ class QualityParams:
     """min_words and max_repeat_percent are the base rules; the rest is the divergence verdict.
 
     max_word_share is a share of the word distance that a text without common words has.
+    references has a language's character and word shares, the words those of common_words.
     """
 
     min_words: int = 10
@@ -52,6 +75,7 @@ class QualityParams:
     max_char_distance: float = 0.31
     max_word_share: float = 0.85
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
+    references: dict = field(default_factory=lambda: REFERENCES)
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -126,16 +150,15 @@ def wordless_distance(shares: list[float]) -> float:
 
 
 def features(docs: DataFrame, keep: list[str], params: QualityParams = QualityParams(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns in keep, the counts, and two histograms: hist_chars and, for each language, hist_<lang>.
+    """row (the columns in keep), the counts, and two histograms: hist_chars and, for each language, hist_<lang>.
 
     hist_chars: upper case, digits, white space, symbols, punctuation, all else.
     hist_<lang>: the language's common words, then all other words; null where
-    the document is marked as another supported language.
+    the document is marked as another language.
     """
     every = sorted({w for ws in params.common_words.values() for w in ws})
-    names = [x for x in keep if x not in OUTPUTS]
     t = F.col("_t")
-    df = docs.select(*[F.col(f"`{x}`") for x in names], F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(lang).alias("_lang"))
+    df = docs.select(packed(docs.select(*[F.col(f"`{x}`") for x in keep])), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.nullif(F.col(lang), F.lit("")).alias("_lang"))
     df = df.withColumn("_words", _words(t))
     w = F.col("_words")
     padded = F.concat(F.lit("  "), F.array_join(F.filter(w, lambda x: x.isin(*every)), "  "), F.lit("  "))
@@ -144,7 +167,7 @@ def features(docs: DataFrame, keep: list[str], params: QualityParams = QualityPa
     rest, n = F.col("_rest"), F.col("_n")
     df = df.withColumns({"n_symbols": _count(rest, SYMBOLS).cast("long"), "_spaces": n - F.col("word_chars").cast("int")})
     df = df.select(
-        *[F.col(f"`{x}`") for x in names],
+        "row",
         "_lang",
         F.size(w).cast("long").alias("n_words"),
         "word_chars",
@@ -160,14 +183,13 @@ def features(docs: DataFrame, keep: list[str], params: QualityParams = QualityPa
     for name, common in params.common_words.items():
         each = [((F.octet_length(found) - F.octet_length(F.replace(found, F.lit(f" {x} ")))) / F.lit(len(x.encode()) + 2)).cast("int") for x in common]
         counts = let(F.array(*each), lambda a: F.concat(a, F.array(F.col("n_words").cast("int") - _total(a))))
-        other = F.col("_lang").isin(*[x for x in params.common_words if x != name])
-        hists[f"hist_{name}"] = F.when(F.coalesce(other, F.lit(False)), F.lit(None)).otherwise(counts)
+        hists[f"hist_{name}"] = F.when(F.coalesce(F.col("_lang") == name, F.lit(True)), counts)
     df = df.withColumns({"hist_chars": F.concat(F.col("_c"), F.array(F.col("_n") - _total(F.col("_c")))), **hists})
     return df.drop("_c", "_found")
 
 
 def references(found: DataFrame, params: QualityParams = QualityParams()) -> dict:
-    """{lang: (character shares, word shares)}: means over every document above the length guards.
+    """{lang: (character shares, word shares)}: means over every document above the length guards, to replace REFERENCES.
 
     found: of features(). One row for each language of params reaches the driver.
     """
@@ -204,7 +226,7 @@ def verdict(found: DataFrame, refs: dict, params: QualityParams = QualityParams(
         if not each:
             return F.lit(None).cast("struct<d:double,most:double>")
         own = reduce(lambda c, x: c.when(F.col("_lang") == x, each[x]), known[1:], F.when(F.col("_lang") == known[0], each[known[0]]))
-        return own.otherwise(F.least(*each.values(), none, none))
+        return own.when(F.col("_lang").isNull(), F.least(*each.values(), none, none))
 
     def most_words(x) -> float:
         # A reference without common words says nothing about them.
@@ -220,15 +242,15 @@ def verdict(found: DataFrame, refs: dict, params: QualityParams = QualityParams(
         }
     )
     far = [F.coalesce(F.col(c)["d"] > F.col(c)["most"], F.lit(False)) for c in ("_char", "_word")]
-    out = out.withColumns({"char_distance": F.col("_char")["d"], "word_distance": F.col("_word")["d"], "kept": ~F.col("base_failed") & ~far[0] & ~far[1]})
-    out = out.select(*[c for c in out.columns if c not in ("_char", "_word", "base_failed", "kept")], "base_failed", "kept")
-    return out.drop("_lang", "_n", "hist_chars", *[f"hist_{x}" for x in params.common_words])
+    kept = ~F.col("base_failed") & ~far[0] & ~far[1]
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    made = {c: F.col(c) for c in counts} | {"char_distance": F.col("_char")["d"], "word_distance": F.col("_word")["d"], "base_failed": F.col("base_failed"), "kept": kept}
+    return unpacked(out, made)
 
 
-def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with counts, distances, base_failed and kept; the references come from docs itself."""
-    found = features(docs, docs.columns, params, text, lang)
-    return verdict(found, references(found, params), params)
+def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """The columns in keep (all, if not given) with counts, distances, base_failed and kept."""
+    return verdict(features(docs, docs.columns if keep is None else keep, params, text, lang), params.references, params)
 
 
 def kept_rows(judged: DataFrame) -> DataFrame:
@@ -237,4 +259,5 @@ def kept_rows(judged: DataFrame) -> DataFrame:
     A filter on the verdict would be pushed below the counts, which would then be
     spelled out, and evaluated, again and again inside it; row numbers hold it back.
     """
-    return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0").drop("_row")
+    names = judged.columns
+    return judged.select(F.struct("*").alias("judged"), F.monotonically_increasing_id().alias("at")).where("judged.kept AND at >= 0").select(*[F.col("judged").getField(c).alias(c) for c in names])
