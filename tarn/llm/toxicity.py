@@ -1,29 +1,34 @@
 """Toxicity by weak supervision.
 
-Voters look for lexicon entries (a fixed seed list, and words and word beginnings
-mined from a bounded sample of labelled rows) and for patterns. A generative
-label model explains all documents' votes by one hidden class: given the class
-balance, the off-diagonal covariances of the votes are a product of the voters'
-strengths, solved by medians over triplets; what they leave over estimates the
-correlations of voters given the class, and correlated voters share their weight.
-Its posterior labels the sample, and a linear classifier learned from them
-scores every whole text.
+Voters look at different evidence: a fixed seed list; words, and word beginnings of
+several lengths, mined from a bounded sample of labelled rows; how many such entries
+there are, how often, how densely and over how many lines; whether somebody is
+addressed beside one; and patterns that need no list: masked words, symbols or digits
+inside words, shouting, exclamations, stretched letters. A generative label model
+explains all documents' votes by one hidden class: given the class balance, the
+off-diagonal covariances of the votes are a product of the voters' strengths, solved
+by medians over triplets of voters whose covariance is beyond chance; what they leave
+over estimates the correlations of voters given the class, and correlated voters share
+their weight. Its posterior labels the sample, and a linear classifier learned from
+them scores every whole text.
 
 The vote moments cover all documents: one small matrix for each task. Labels are
 read only from rows of the training folds, SAMPLE of them at most, taken by a
-hash of their id; the sample, which is all that is broadcast or gathered, has
-that bound at every size of the input.
+hash of their id, one row for each id; the sample has that bound at every size of
+the input. Its distinct evidence, a few numbers a row, is all that is gathered.
 
 Defined results: null and empty texts get the score of a document without votes;
-rows with null labels or ids teach nothing; repeated rows are scored alike; with
-no usable labels the seed list alone votes; input columns named like an output
-are replaced.
+rows with null labels or ids teach nothing; of an id's labels the largest counts, and
+of its texts the one with the least hash; repeated rows are scored alike; with no
+usable labels the seed list and the patterns alone vote; input columns named like an
+output, in whatever case, are replaced.
 """
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,18 +40,24 @@ from tarn.llm.common import Workspace, map_texts
 
 #: Labelled rows that are read at most.
 SAMPLE = 20_000
-#: Lexicon entries that are mined at most; the toxic documents that must hold one, and the share of those at least.
+#: Lexicon entries that are mined at most; the toxic documents that must hold one, the share of those, and the precision at least.
 MINED, LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION = 256, 5, 0.005, 0.9
-GROUPS = 8
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7, 8)
 FOLDS = 5
 
 # The seed lexicon, plain insults.
 SEED = "bastard bitch clown creep cretin dimwit disgusting dumb dumbass filth fool freak garbage idiot idiots imbecile jerk loser losers lowlife moron morons pathetic pig psycho scum stupid trash ugly vermin worthless".split()
 
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_~`/\\"
+# Words that address somebody, in the supported languages.
+ADDRESS = frozenset("you your yours yourself du dich dir dein deine ihr euch sie tu te toi ton vous votre eres usted tú ti vosotros".split())
+
 MASKED = regex.compile(r"(?<!\S)\p{L}\*{2,}\p{L}")
-VOTERS = GROUPS + 4
+INSIDE = re.compile(r"[^\W\d_][0134578@#$*]+[^\W\d_]")
+STRETCHED = re.compile(r"([a-z])\1\1\1")
+VOTERS = ("seed", "mined word", *(f"mined beginning of {k}" for k in STARTS), "several entries", "three occurrences", "dense", "several lines", "address", "masked", "inside a word", "shouting", "exclamations", "stretched")
+#: The last of the voters are patterns, which need no list.
+PATTERNS = 5
 
 
 def fold(doc_id: Column) -> Column:
@@ -55,47 +66,66 @@ def fold(doc_id: Column) -> Column:
 
 
 class Lexicon:
-    """Entries are whole words, or word beginnings marked by a closing hyphen."""
+    """Entries are whole words, or word beginnings marked by a closing hyphen; the first `seeds` of them are the seed list."""
 
-    def __init__(self, entries: list[str]):
+    def __init__(self, entries: list[str], seeds: int = len(SEED)):
         self.entries = entries
         self.number = {e: i for i, e in enumerate(entries)}
-        self.group = [zlib.crc32(e[:4].encode()) % GROUPS for e in entries]
+        kinds = {k: 2 + i for i, k in enumerate(STARTS)}
+        #: The voter that an entry counts for.
+        self.kind = np.array([0 if i < seeds else kinds[len(e) - 1] if e.endswith("-") else 1 for i, e in enumerate(entries)], dtype=np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @property
+    def width(self) -> int:
+        """The classifier's inputs: votes, any hit, log hits, log share, entries."""
+        return len(VOTERS) + 3 + len(self.entries)
+
     def of(self, word: str) -> tuple[int, ...]:
         w = word.lower().strip(EDGES)
         return tuple(i for e in forms(w) if (i := self.number.get(e)) is not None)
 
-    def hits(self, text: str) -> tuple[Counter, int, int]:
-        """Occurrences of each entry, words that hold one, and all words."""
+    def evidence(self, text: str | None) -> np.ndarray:
+        """Words that hold an entry, lines that do (2 at most), all words (0 without a hit), address, the patterns; then the entries found."""
+        text = text or ""
         words, known = text.split(), self.known
         for w in set(words).difference(known):
             if len(known) > 500_000:
                 known.clear()
             known[w] = self.of(w)
-        found, holding = Counter(), 0
-        for w in words:
-            if own := known.get(w) or ():
-                found.update(own)
-                holding += 1
-        return found, holding, len(words)
-
-    def votes(self, text: str, found: Counter, holding: int, n: int) -> np.ndarray:
-        out = np.zeros(VOTERS)
-        for i in found:
-            out[self.group[i]] = 1
-        out[GROUPS:] = holding >= 3, 100 * holding > n, len({self.group[i] for i in found}) >= 2, bool(MASKED.search(text))
+        hits = [i for i, w in enumerate(words) if known.get(w)]
+        found = sorted({e for i in hits for e in known[words[i]]})
+        lines = address = 0
+        if hits:
+            near = {w.lower().strip(EDGES) for i in hits for w in words[max(0, i - 3) : i + 4]}
+            address = int(not ADDRESS.isdisjoint(near))
+            held = {words[i] for i in hits}
+            for line in text.split("\n"):
+                lines += not held.isdisjoint(line.split())
+                if lines == 2:
+                    break
+        patterns = [
+            "**" in text and bool(MASKED.search(text)),
+            bool(INSIDE.search(text)),
+            10 * sum(map(str.isupper, words)) > 3 * len(words),
+            "!!" in text or "!?" in text,
+            bool(STRETCHED.search(text)),
+        ]
+        return np.array([len(hits), lines, len(words) if hits else 0, address, *patterns, *found], dtype=np.int32)
+
+    def votes(self, evidence: np.ndarray) -> np.ndarray:
+        holding, lines, n, address = evidence[:4].tolist()
+        found = evidence[4 + PATTERNS :]
+        out = np.zeros(len(VOTERS))
+        out[self.kind[found]] = 1
+        out[2 + len(STARTS) :] = [len(found) >= 2, holding >= 3, 100 * holding > n, lines >= 2, address, *evidence[4 : 4 + PATTERNS]]
         return out
 
-    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Votes, and the classifier's inputs: votes, any hit, log hits, log share, entries."""
-        text = text or ""
-        found, holding, n = self.hits(text)
-        votes = self.votes(text, found, holding, n)
+    def features(self, evidence: np.ndarray) -> np.ndarray:
+        holding, n = int(evidence[0]), int(evidence[2])
         own = np.zeros(len(self.entries))
-        own[list(found)] = 1
-        return votes, np.concatenate([votes, [holding > 0, np.log1p(holding), np.log1p(1000 * holding / max(1, n))], own])
+        own[evidence[4 + PATTERNS :]] = 1
+        return np.concatenate([self.votes(evidence), [holding > 0, np.log1p(holding), np.log1p(1000 * holding / max(1, n))], own])
 
 
 def forms(word: str) -> list[str]:
@@ -119,12 +149,11 @@ class LabelModel:
         mean = sums / max(n, 1)
         cov = products / max(n, 1) - np.outer(mean, mean)
         m, strength = len(mean), np.zeros(len(mean))
+        # Voters that agree more often than chance would have it.
+        chance = 4 * np.sqrt(np.outer(np.diag(cov), np.diag(cov)).clip(1e-18) / max(n, 1))
+        agree = cov > chance
         for i in range(m):
-            found = []
-            for j in range(m):
-                for k in range(j + 1, m):
-                    if i not in (j, k) and cov[j, k] > 1e-9 and cov[i, j] * cov[i, k] > 0:
-                        found.append(np.sqrt(cov[i, j] * cov[i, k] / cov[j, k]))
+            found = [np.sqrt(cov[i, j] * cov[i, k] / cov[j, k]) for j in range(m) for k in range(j + 1, m) if i not in (j, k) and agree[j, k] and agree[i, j] and agree[i, k]]
             if found:
                 strength[i] = np.median(found)
         spread = np.sqrt(balance * (1 - balance))
@@ -144,14 +173,21 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights, the last of them the bias, of a logistic model of the soft labels y."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def fit_linear(blocks: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], width: int, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights, the last of them the bias, of a logistic model.
+
+    blocks() gives the rows in bounded blocks: inputs, soft labels and how often each row occurs.
+    """
+    w, penalty = np.zeros(width + 1), np.full(width + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for x, y, times in blocks():
+            x = np.hstack([x, np.ones((len(x), 1))])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve += (x * (times * (p * (1 - p) + 1e-6))[:, None]).T @ x
+            slope += x.T @ (times * (y - p))
+        step = np.linalg.solve(curve, slope)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -159,10 +195,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """text and toxic of SAMPLE labelled rows of the training folds at most."""
+    """text and toxic of SAMPLE labelled rows of the training folds at most, one for each id."""
     taught = labels.where((fold(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return work.table(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "toxic"), "sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id")
+    return work.table(rows.agg(F.min_by(F.struct("text"), F.xxhash64("text"))["text"].alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "sample")
 
 
 def mine(sample: DataFrame) -> list[str]:
@@ -191,26 +228,26 @@ def mine(sample: DataFrame) -> list[str]:
     return good[:MINED]
 
 
-def vote_moments(docs: DataFrame, lexicon: Lexicon) -> tuple[float, np.ndarray, np.ndarray]:
+def vote_moments(docs: DataFrame, entries: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
     """Over all documents: their number, the sums of votes and of products of votes."""
-    entries = lexicon.entries
+    m = len(VOTERS) + 1
 
     def run(batches):
         import pyarrow as pa
 
-        own, total = Lexicon(entries), np.zeros((VOTERS + 1, VOTERS + 1))
+        own, total = Lexicon(entries), np.zeros((m, m))
         for batch in batches:
-            votes = np.array([[*own.features(t)[0], 1.0] for t in batch.column(0).to_pylist()]).reshape(-1, VOTERS + 1)
+            votes = np.array([[*own.votes(own.evidence(t.as_py())), 1.0] for t in batch.column(0)]).reshape(-1, m)
             total += votes.T @ votes
         flat = total.ravel()
         yield pa.RecordBatch.from_pydict({"at": np.arange(len(flat)), "x": flat}, schema=pa.schema([("at", pa.int32()), ("x", pa.float64())]))
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select("text").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    total = np.zeros((VOTERS + 1) ** 2)
+    total = np.zeros(m * m)
     for r in rows:
         total[r["at"]] = r["x"]
-    total = total.reshape(VOTERS + 1, VOTERS + 1)
+    total = total.reshape(m, m)
     return float(total[-1, -1]), total[-1, :-1], total[:-1, :-1]
 
 
@@ -223,21 +260,25 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, work: Workspace) -> Model:
     sample = labelled_sample(docs, labels, work)
-    lexicon = Lexicon(list(dict.fromkeys([*SEED, *mine(sample)])))
+    entries = list(dict.fromkeys([*SEED, *mine(sample)]))
     n, toxic = sample.agg(F.count("toxic"), F.sum("toxic")).first()
     balance = min(0.5, max(0.01, ((toxic or 0) + 1) / (n + 10)))
-    model = LabelModel.fit(*vote_moments(docs, lexicon), balance)
-    entries = lexicon.entries
+    model = LabelModel.fit(*vote_moments(docs, entries), balance)
 
     def make():
         own = Lexicon(entries)
-        return lambda texts: {"x": [own.features(t)[1].tobytes() for t in texts]}
+        return lambda texts: {"x": [own.evidence(t).tobytes() for t in texts]}
+
+    seen = [(bytes(r["x"]), r["n"]) for r in map_texts(sample.select("text"), make, {"x": "binary"}).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()]
+    lexicon = Lexicon(entries)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, len(seen), 500):
+            part = seen[at : at + 500]
+            x = np.array([lexicon.features(np.frombuffer(e, dtype=np.int32)) for e, _ in part])
+            yield x, model.posterior(x[:, : len(VOTERS)]), np.array([times for _, times in part], dtype=float)
 
-    # A row for each distinct input with its weight would do too; the sample is bounded.
-    rows = map_texts(sample.select("text"), make, {"x": "binary"}).collect()
-    width = VOTERS + 3 + len(entries)
-    x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(-1, width)
-    weights = fit_linear(x, model.posterior(x[:, :VOTERS])) if len(x) else np.concatenate([np.full(width, 1.0), [-4.0]])
+    weights = fit_linear(blocks, lexicon.width) if seen else np.concatenate([np.full(lexicon.width, 1.0), [-4.0]])
     return Model(entries, model, weights)
 
 
@@ -249,7 +290,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = Lexicon(entries)
 
         def run(texts):
-            x = np.array([own.features(t)[1] for t in texts])
+            x = np.array([own.features(own.evidence(t)) for t in texts]).reshape(-1, len(weights) - 1)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             return {"score": p.tolist(), "predicted": (p >= 0.5).astype(int).tolist()}
 
