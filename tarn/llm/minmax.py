@@ -2,20 +2,23 @@
 
 Each permutation of the shingle hashes gives two signature values, its minimum
 and its maximum, so PERMUTATIONS evaluations make twice as many values. BANDS
-bands of ROWS values bring documents together; a pair at the threshold meets in
-none of them with a probability below 1e-10 (at 80 percent, 5e-8). Every link is confirmed on the full
-shingle sets, and nothing is linked that is not confirmed.
-
-Documents with one shingle set form a class that takes part once. Within a
-bucket no pairs are listed: its members are compared with one pivot, and connected
-components are found. Buckets whose members are still apart are joined into
-families, and inside a family every document outside its largest component is
-searched against all members of other components: blocks of such queries meet
-blocks of members in cells of a bounded size, where overlaps are counted on full
-sets and one link for each component found is returned. Every pair of a bucket is
-thus compared unless both are connected already, which no comparison could change.
-Pivots and members meet in joins by key that Spark may split; counts and minima
-are aggregated before they are shuffled; components shrink to stars by large-star
+bands of ROWS values bring documents together; a pair that shares 85 percent meets in
+none of them with a probability below 1e-10 (at 80 percent, 5e-8). Every link is confirmed
+on the full shingle sets, and nothing is linked that is not confirmed.
+
+Documents with one shingle set form a class that takes part once, with one text,
+however many rows it has. Within a bucket no pairs are listed: its members are compared
+with one pivot, and connected components are found. Where the other members of a bucket
+are still in several components, overlaps are counted: a pair can only be linked if
+both hold a common shingle among their first few, in an order that puts shingles
+of a single component first and rare ones next. Members without such a shingle drop
+out, and those that share one form families. Inside a family every document outside
+its largest component is searched against all members of other components: blocks of
+such queries meet blocks of members in cells of a bounded size, where overlaps are
+counted on full sets and one link for each component found is returned. Every pair of a
+bucket is thus compared unless both are connected already or cannot be linked.
+Pivots, members and shingles meet in joins by key that Spark may split; counts and
+minima are aggregated before they are shuffled; components shrink to stars by large-star
 and small-star steps, distributed at every size.
 
 Defined results: documents without words have n_shingles 0 and link with
@@ -27,13 +30,14 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import Workspace, map_texts
 
 WORDS = 5
-PERCENT = 85
+#: What near-duplicates share at least, of all that they hold.
+PERCENT = 80
 PERMUTATIONS, ROWS, BANDS = 64, 4, 32
 #: Queries and members of a family that meet in one cell, about.
 BLOCK = 512
@@ -158,40 +162,35 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, work: Workspace | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     work = work or Workspace(spark, "minmax")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     signed = work.table(signatures(docs), "signatures")
     taking = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = work.table(taking.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    picked = taking.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("pick"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = work.table(picked.select("set_key", F.col("pick.doc_id").alias("rep"), F.col("pick.text_key").alias("text_key"), "n", "bands"), "classes")
     reps = classes.select("set_key", "rep")
     # Classes that one id belongs to are one document.
-    ids = taking.select("doc_id", "set_key").join(reps, "set_key")
+    ids = taking.select("doc_id", "set_key").distinct().join(reps, "set_key")
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("doc_id", "u")
     same = work.table(several.join(ids, "doc_id").select("u", F.col("rep").alias("v")).distinct(), "same")
-    banded = classes.select("set_key", "rep", "n", F.explode("bands").alias("bucket"))
+    banded = classes.select("set_key", "rep", "text_key", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     members = work.table(banded.join(shared, "bucket"), "members")
-    needed = members.select(F.col("rep").alias("doc_id"), "set_key").distinct()
-    texts = work.table(_texts(docs, needed, not same.isEmpty()), "texts")
+    needed = members.select(F.col("rep").alias("doc_id"), "text_key", "set_key").distinct()
+    once = docs.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    texts = work.table(once.join(needed, ["doc_id", "text_key"]).select("set_key", "text"), "texts")
     links = work.table(confirm(_star_pairs(members, percent), texts, percent), "links")
     edges = links.join(reps.toDF("a", "u"), "a").join(reps.toDF("b", "v"), "b").select("u", "v").union(same)
     label = components(edges, Workspace(spark, "minmax-stars"))
-    found = work.table(_within_families(members, label, texts, percent), "found")
-    if not found.isEmpty():
-        label = components(edges.union(found), Workspace(spark, "minmax-all"))
+    open_ = work.table(_still_open(members, label), "open")
+    if not open_.isEmpty():
+        found = work.table(_within_families(open_, texts, percent), "found")
+        if not found.isEmpty():
+            label = components(edges.union(found), Workspace(spark, "minmax-all"))
     named = signed.join(reps, "set_key", "left").join(label.toDF("rep", "label"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _texts(docs: DataFrame, needed: DataFrame, ambiguous: bool) -> DataFrame:
-    """set_key and text of the needed classes; ambiguous if an id may stand for several texts."""
-    found = docs.join(needed, "doc_id")
-    if ambiguous:
-        make = lambda: lambda texts, w=WordHashes(): {"own": [xxhash.xxh3_128_digest(shingles(t, w).tobytes()) for t in texts]}
-        found = map_texts(found.withColumn("whole", F.col("text")), make, {"own": "binary"}).where("own = set_key").withColumnRenamed("whole", "text")
-    return found.groupBy("set_key").agg(F.first("text").alias("text")) if ambiguous else found.select("set_key", "text")
-
-
 def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a, b of a bucket's first member with the others, but for sizes that rule a link out."""
     pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "set_key", "n")).alias("p"))
@@ -200,13 +199,51 @@ def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * small >= percent * large).select(F.col("p.set_key").alias("a"), F.col("set_key").alias("b")).distinct()
 
 
-def _within_families(members: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links u, v between documents of one family that label leaves apart."""
-    spark = members.sparkSession
+def _still_open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """set_key, rep, label and n of the members of buckets that hold several components besides the pivot, which met all of them."""
+    marked = members.join(label.toDF("rep", "label"), "rep", "left").select("bucket", "set_key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    pivots = marked.groupBy("bucket").agg(F.min(F.struct("rep", "set_key")).alias("p"))
+    rest = marked.join(pivots, "bucket").where(F.col("p.set_key") != F.col("set_key"))
+    apart = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return rest.join(apart, "bucket", "left_semi").select("set_key", "rep", "label", "n").distinct()
+
+
+def _prefixes(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """shingle, set_key, rep and label for the shingles by which an open document may be linked with another component.
+
+    Two sets that share the share asked for hold a common shingle among the first n - ceil(share * n) + 1 of each,
+    whatever order all shingles are put in. Here those of one component alone come first: no link needs them.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        words = WordHashes()
+        for batch in batches:
+            for i, text in enumerate(batch.column(4)):
+                own = shingles(text.as_py(), words)
+                for at in range(0, len(own), 50_000):
+                    part = own[at : at + 50_000].view(np.int64)
+                    row = pa.array(np.full(len(part), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *[batch.column(c).take(row) for c in range(4)]], names=["shingle", "set_key", "rep", "label", "n"])
+
+    kinds = dict(open_.dtypes)
+    schema = f"shingle long, set_key binary, rep {kinds['rep']}, label {kinds['label']}, n {kinds['n']}"
+    listed = open_.join(texts, "set_key").select("set_key", "rep", "label", "n", "text").mapInArrow(run, schema)
+    common = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle", "c")
+    own = Window.partitionBy("set_key")
+    ranked = listed.join(common, "shingle").withColumns({"nth": F.row_number().over(own.orderBy("c", "shingle")), "held": F.count(F.lit(1)).over(own)})
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.where(F.col("nth") + F.col("n") - F.col("held") <= most).select("shingle", "set_key", "rep", "label")
+
+
+def _within_families(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between open documents of several components."""
+    spark = open_.sparkSession
     own = Workspace(spark, "minmax-families")
-    marked = members.select("bucket", "set_key", "rep").join(label.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    pivots = marked.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket", "pivot")
-    apart = own.table(marked.join(pivots, "bucket").select("set_key", "rep", "label", "pivot").distinct(), "apart")
+    prefixes = own.table(_prefixes(open_, texts, percent), "prefixes")
+    pivots = prefixes.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle", "pivot")
+    apart = own.table(prefixes.join(pivots, "shingle").select("set_key", "rep", "label", "pivot").distinct(), "apart")
     family = components(apart.select(F.col("rep").alias("u"), F.col("pivot").alias("v")), Workspace(spark, "minmax-families"))
     docs = apart.select("set_key", "rep", "label").distinct().join(family.toDF("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
     docs = own.table(docs, "docs")

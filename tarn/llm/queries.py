@@ -44,7 +44,7 @@ def op5_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = impact_index.integer_vectors(tables(spark, sf_dir, "embeddings"))
-    return impact_index.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+    return impact_index.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +53,19 @@ def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax.near_duplicates(spark, tables(spark, sf_dir, "documents"))
+    return minmax.near_duplicates(spark, tables(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents themselves are dealt; sizes and checksums are those of the dealt rows."""
+    placed = shard.shard_rows(tables(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = tables(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shard.shard_rows(docs, shards=24).withColumn("grown_shard", F.lit(None).cast("int"))
+    size, checksum = (F.octet_length(text) + 8).cast("long"), F.crc32(text.cast("binary"))
+    return placed.select("doc_id", size.alias("size"), checksum.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables(spark, sf_dir, "documents")
-    found = Workspace(spark, "quality").table(quality.features(docs, ["doc_id"]), "features")
-    return quality.verdict(found, quality.references(found))
+    return quality.quality_rules(tables(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 QUERIES = {
@@ -138,3 +138,56 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored QUALIFY "rank" <= 5
     """,
 }
+
+
+def _quality_sql(params: quality.QualityParams = quality.QualityParams()) -> str:
+    """The quality rules; a row for each document and reference that it may be held against, the nearest of which counts."""
+    refs = params.references
+    share = {x: params.max_word_share * quality.wordless_distance(refs[x][1]) or 1.0 for x in refs}
+    table = ", ".join(f"('{x}', {refs[x][0]}, {refs[x][1]}, {params.common_words[x]}, {share[x]!r})" for x in refs)
+    classes = [r"\P{Lu}+", "[^0-9]+", None, f"[^{quality.SYMBOLS}]+", "[^" + quality.PUNCTUATION.replace("'", "''").replace("-", r"\-") + "]+"]
+    counts = ", ".join("length(t) - word_chars" if c is None else f"length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
+
+    def distance(p: str, q: str) -> str:
+        part = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+        pair = f"({part.format('z[1]', 'z[2]')} + {part.format('z[2]', 'z[1]')}) / 2"
+        return f"round(sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {pair})))), 6)"
+
+    return f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, nullif(lang, '') AS lang, coalesce(text, '') AS t, {_WORDS.format("text")} AS ws FROM documents
+        ),
+        grams AS (SELECT r, pos, list_slice(ws, pos, pos + 4) AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS pos FROM d)),
+        twice AS (SELECT r, pos FROM grams QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+        covered AS (SELECT r, count(DISTINCT pos + o) AS n FROM twice, (SELECT unnest(range(0, 5)) AS o) GROUP BY r),
+        lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        counted AS (
+            SELECT d.*, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^{quality.SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+            FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)
+        ),
+        refs AS (SELECT * FROM (VALUES {table}) AS v(ref, chars, words, common, most)),
+        h AS (SELECT *, list_transform([{counts}], lambda x: CAST(x AS DOUBLE)) AS cs FROM counted),
+        held AS (
+            SELECT r, ref, most, chars, words, list_transform(list_append(cs, length(t) - list_sum(cs)), lambda x: x / length(t)) AS p,
+                   list_transform(common, lambda c: CAST(len(list_filter(ws, lambda x: x = c)) AS DOUBLE)) AS found, n_words, length(t) AS n
+            FROM h JOIN refs ON ref = lang OR lang IS NULL
+        ),
+        far AS (
+            SELECT r, ref, most, CASE WHEN n >= {params.guard_chars} THEN {distance("p", "chars")} END AS cd,
+                   CASE WHEN n_words >= {params.guard_words} THEN {distance("list_transform(list_append(found, n_words - list_sum(found)), lambda x: x / n_words)", "words")} END AS wd
+            FROM held
+        ),
+        nearest AS (SELECT r, min(cd) AS char_distance, min({{'d': wd, 'most': most}}) FILTER (WHERE wd IS NOT NULL) AS w FROM far GROUP BY r),
+        judged AS (
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, w.d AS word_distance,
+                   n_words < {params.min_words} OR 100 * n_repeat_words > {params.max_repeat_percent} * n_words AS base_failed,
+                   coalesce(char_distance > {params.max_char_distance}, FALSE) OR coalesce(w.d > w.most, FALSE) AS too_far
+            FROM counted LEFT JOIN nearest USING (r)
+        )
+        SELECT * EXCLUDE (too_far), NOT base_failed AND NOT too_far AS kept FROM judged
+    """
+
+
+ORACLE_SQL["op10_divergence_rules"] = _quality_sql()

@@ -34,6 +34,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm.common import Workspace
 
@@ -338,9 +339,8 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, keep: list[str] | None
         listed = places.groupBy("doc").agg(F.collect_list("place").alias("_places")).withColumnRenamed("doc", "_doc")
         part = mine.join(listed, "_doc", "left").select("_doc", "_text", "_places", *[F.col(f"`{c}`") for c in keep])
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        schema = "_doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-        kinds = dict(part.dtypes)
-        schema += "".join(f", `{c}` {kinds[c]}" for c in keep)
+        schema = T._parse_datatype_string("_doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+        schema = T.StructType([*schema.fields, *[part.schema[c] for c in keep]])
         part = part.mapInArrow(_apply(with_text), schema).drop("_doc")
         done = part if done is None else done.union(part)
     return done

@@ -44,3 +44,23 @@ def test_near_duplicate_stage_equals_brute_force(spark, sf):
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()}
     assert got == {d for d in sets if label[d] == d}
     assert not {900_001, 900_003} & got and 900_005 in got
+
+
+def test_stages_take_any_columns_and_rows(spark, sf, tmp_path):
+    """Columns named like those the operators make, in other cases too; nulls, an empty text, repeated rows, an empty table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "some words here", "xx", None, 15)], docs.schema)
+    odd = odd.union(docs.limit(5)).union(docs)
+    more = {"Score": "1", "predicted": "'p'", "N_words": "2L", "_n": "3", "hist_chars": "'h'", "hist_en": "'e'", "Kept": "true", "row": "'r'", "set_key": "'k'", "component_id": "4", "kept_text": "'t'", "_places": "5", "kept_sha256": "'s'", "sequence_id": "6"}
+    odd = odd.withColumns({k: F.expr(v) for k, v in more.items()})
+    for docs in (odd, odd.limit(0)):
+        columns, left = docs.columns, docs.count()
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            made = stage(spark, docs, sf)
+            where = str(tmp_path / f"{left}-{i}-{name}")
+            made.write.parquet(where)
+            made = spark.read.parquet(where)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert made.columns == columns and made.where(" AND ".join(f"`{k}` = {v}" for k, v in more.items())).count() == made.count(), name
+                docs = made
+        assert left == 0 or 0 < docs.count() < left

@@ -96,7 +96,7 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
             if a < b and any(s and t and 100 * len(s & t) >= 85 * len(s | t) for s in sets[a] for t in sets[b]):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
-    got = minmax.near_duplicates(spark, docs).collect()
+    got = minmax.near_duplicates(spark, docs.withColumn("rep", docs["lang"]), percent=85).collect()
     assert len(got) == len(rows())
     for r in got:
         if r["doc_id"] is None:
@@ -117,7 +117,7 @@ def test_near_duplicates_of_chains_and_repeated_ids(spark):
             own[(5 * j) % 200] = f"new{j}"
         made.append((k, " ".join(own)))
     made += [(500, "totally other words stand in this short text"), (500, "and yet more that nobody has written so far"), (501, "and yet more that nobody has written so far")]
-    got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), percent=85).collect()}
     sets = {k: {tuple(t.split()[i : i + 5]) for i in range(196)} for k, t in made[:40]}
     label = {k: k for k in sets}
     for _ in sets:
@@ -129,6 +129,42 @@ def test_near_duplicates_of_chains_and_repeated_ids(spark):
     assert got[500] == got[501] == 500
 
 
+def test_near_duplicates_compare_repeated_rows_once(spark, monkeypatch):
+    """Two ids of 10,000 equal rows each are two texts, and one comparison."""
+    a = " ".join(f"w{i}" for i in range(60))
+    df = spark.range(20_000).selectExpr("id % 2 AS doc_id", f"if(id % 2 = 0, '{a}', '{a} end') AS text")
+    compared, confirm = [], minmax.confirm
+
+    def counted(pairs, texts, percent):
+        compared.append((pairs.count(), texts.count()))
+        return confirm(pairs, texts, percent)
+
+    monkeypatch.setattr(minmax, "confirm", counted)
+    got = minmax.near_duplicates(spark, df, percent=85).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(0, 0, True, 10_000), (1, 0, False, 10_000)} and compared == [(1, 2)]
+
+
+def test_near_duplicates_inside_open_buckets(spark):
+    """Texts that share a template but are too far apart meet in buckets; links among them are found, and only those."""
+    import random
+
+    rnd, made = random.Random(3), []
+    base = [f"t{i}" for i in range(160)]
+    for k in range(60):  # about 70 percent shared with each other
+        made.append((k, " ".join(base + [f"own{k}x{i}" for i in range(30)])))
+    for k in range(60, 75):  # links to a member each
+        made.append((k, made[rnd.randrange(60)][1] + f" tail{k} more{k}"))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in made}
+    label = {k: k for k in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), percent=85).collect()}
+    assert got == label and len(set(label.values())) > 40
+
+
 def test_minmax_estimates_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
@@ -235,7 +271,11 @@ def test_bin_completion_is_optimal_on_small_inputs():
 def test_quality_counts_equal_brute_force(docs, empty):
     import re
 
-    got = quality.quality_rules(docs.withColumn("kept", docs["lang"])).collect()
+    clash = docs.withColumns({"Kept": docs["lang"], "_n": docs["doc_id"], "hist_chars": docs["text"], "row": docs["lang"]})
+    judged = quality.quality_rules(clash)
+    assert judged.columns[:8] == [*docs.columns, "_n", "hist_chars", "row"] and "Kept" not in judged.columns
+    got = judged.collect()
+    assert all((r["_n"], r["hist_chars"], r["row"]) == (r["doc_id"], r["text"], r["lang"]) for r in got)
     assert len(got) == len(rows()) and quality.quality_rules(empty).count() == 0
     want = {}
     for r in rows():
@@ -263,8 +303,7 @@ def test_js_distance(spark):
 
 def test_divergence_drops_junk_and_keeps_prose(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
-    found = quality.features(docs, ["doc_id"])
-    refs = quality.references(found)
+    refs = quality.REFERENCES
     prose = docs.where("doc_id = 0").first()["text"]
     junk = " ".join(f"{w.upper()}#$%|" for w in prose.split())
     made = spark.createDataFrame([(1, prose, "fr"), (2, junk, "fr"), (3, junk, None)], "doc_id long, text string, lang string")
@@ -274,8 +313,7 @@ def test_divergence_drops_junk_and_keeps_prose(spark, sf):
 
 def test_word_rule_alone_drops_texts_without_common_words(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
-    found = quality.features(docs, ["doc_id"])
-    refs = quality.references(found)
+    refs = quality.REFERENCES
     prose = docs.where("doc_id = 0").first()["text"]
     common = {w for ws in quality.COMMON_WORDS.values() for w in ws}
     salad = " ".join("x" * len(w) if w in common else w for w in prose.split(" "))
@@ -288,6 +326,27 @@ def test_word_rule_alone_drops_texts_without_common_words(spark, sf):
     assert all(r["kept"] for r in quality.verdict(quality.features(made.where("lang = 'fr'"), ["doc_id"]), bare).collect())
 
 
+def test_junk_does_not_move_the_references(spark):
+    """A verdict does not depend on the other rows; a language without a reference is judged by the base rules."""
+    from tarn.llm.common import tables
+
+    docs = tables(spark, "/root/testdata/sf0.001", "documents")
+    alone = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()}
+    junk = docs.selectExpr("doc_id + 100000 AS doc_id", "upper(replace(text, ' ', '#% ')) AS text", "lang", "source", "n_chars")
+    among = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs.union(junk).union(junk)).collect()}
+    assert {k: v for k, v in among.items() if k < 100_000} == alone
+    other = quality.quality_rules(junk.selectExpr("doc_id", "text", "'fi' AS lang")).collect()
+    assert all(r["kept"] == (not r["base_failed"]) and r["char_distance"] is None for r in other) and any(r["kept"] for r in other)
+
+
+def test_references_fitted_on_good_documents_agree_with_the_fixed_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    fitted = quality.references(quality.features(docs, ["doc_id"]))
+    for name, (chars, words) in quality.REFERENCES.items():
+        assert np.abs(np.array(fitted[name][0]) - chars).max() < 0.02 and np.abs(np.array(fitted[name][1]) - words).max() < 0.02
+
+
 def test_toxicity_learns_from_training_folds_only(spark, empty):
     from tarn.llm.common import Workspace
 
@@ -308,6 +367,57 @@ def test_toxicity_learns_from_training_folds_only(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_samples_rows_not_ids(spark, monkeypatch):
+    """One labelled id on very many rows is one row of the sample; of conflicting labels the largest counts."""
+    from tarn.llm.common import Workspace
+
+    monkeypatch.setattr(toxicity, "SAMPLE", 30)
+    docs = spark.range(3000).selectExpr("if(id < 2500, 7, id) AS doc_id", "concat('plain text ', id) AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic").union(spark.createDataFrame([(7, 0), (7, 1)], "doc_id long, toxic int"))
+    sample = toxicity.labelled_sample(docs, labels, Workspace(spark, "t"))
+    assert 0 < sample.count() <= 30
+    taught = toxicity.labelled_sample(docs.where("doc_id = 7"), labels.where("doc_id = 7"), Workspace(spark, "t"))
+    assert [r["toxic"] for r in taught.collect()] == [1]
+
+
+def test_toxicity_takes_long_repeated_and_clashing_rows(spark):
+    from tarn.llm.common import Workspace
+
+    rows = [(1, "calm words here " * 30_000, 9, 8), (1, "you idiot idiot scum", 7, 6), (1, "you idiot idiot scum", 7, 6), (None, None, 1, 2), (2, "", 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Score int, predicted int")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), Workspace(spark, "t"))
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "score", "predicted"]
+    scores = sorted((r["doc_id"] or 0, r["score"]) for r in got.collect())
+    assert len(scores) == 5 and scores[2][1] == scores[3][1] > 0.5 > scores[1][1] and scores[0][1] == scores[4][1]
+
+
+def test_voters_look_at_different_evidence():
+    lexicon = toxicity.Lexicon([*toxicity.SEED, "zorg", "blixt-"])
+    texts = {
+        "seed": "what an idiot", "mined word": "zorg", "mined beginning of 5": "blixten", "several entries": "zorg idiot", "three occurrences": "zorg zorg zorg",
+        "dense": "zorg and", "several lines": "zorg\nzorg", "address": "you are a zorg", "masked": "a f**k here", "inside a word": "an 1d10t", "shouting": "GO AWAY now", "exclamations": "no!!", "stretched": "noooo",
+    }
+    for name, text in texts.items():
+        votes = lexicon.votes(lexicon.evidence(text))
+        assert votes[toxicity.VOTERS.index(name)] == 1, name
+    assert not lexicon.votes(lexicon.evidence("a calm text of plain words")).any() and not lexicon.votes(lexicon.evidence(None)).any()
+
+
+def test_toxicity_finds_held_out_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tarn.llm.common import Workspace
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    taught = docs.select("doc_id", "text").join(labels, "doc_id")
+    model = toxicity.fit(taught.repartition(4), labels, Workspace(spark, "t"))
+    held = taught.where(toxicity.fold(F.col("doc_id")) == 0).select("doc_id", "text", "toxic")
+    got = {(r["toxic"], r["predicted"]): r["count"] for r in toxicity.score(held, model).groupBy("toxic", "predicted").count().collect()}
+    assert got[1, 1] >= 0.9 * (got[1, 1] + got[1, 0]) and got[0, 0] >= 0.98 * (got[0, 0] + got[0, 1])
+
+
 def test_mining_keeps_entries_with_a_few_clean_rows(spark):
     rows = [(f"zorgface number {i}", 1) for i in range(27)] + [("a zorgface again", 0), ("one zorgface more", 0)]
     rows += [(f"blixtword number {i}", 1) for i in range(16)] + [("a blixtword again", 0)]
