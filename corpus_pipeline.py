@@ -4,7 +4,12 @@ Five stages, each on all that the one before kept: toxic documents go, documents
 that fail the quality rules go, one document of each group of near-duplicates
 stays, passages seen before are cut out, and what is left is packed. A stage
 takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. Rows whose id is null pass the third stage unchanged.
+columns they were given. These are carried as one, so that none can clash with a
+column that an operator makes, whatever its name.
+
+Defined results: null and empty texts are not toxic, and fail the quality rules;
+rows whose id is null pass the third stage unchanged; of rows that repeat an id and
+its text the third stage keeps one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,37 +18,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import minmax, packing, quality, substring_index, toxicity
-from tarn.llm.common import Workspace, tables
+from tarn.llm.common import Workspace, packed, tables, unpacked
 from tarn.llm.queries import vocabulary_file
 
 #: Word shingles that near-duplicates share at least, of all that they hold; op8 has its own value.
-NEAR_PERCENT = 80
+NEAR_PERCENT = minmax.PERCENT
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, tables(spark, sf_dir, "labels"), Workspace(spark, "toxicity"))
-    scored = toxicity.score(docs.withColumn("_scored", F.col("text")), model, text="_scored")
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs.select(packed(docs), "text"), model)
+    return unpacked(scored.where("predicted = 0"), {})
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.kept_rows(quality.quality_rules(docs)).select(*docs.columns)
+    judged = quality.quality_rules(docs.select(packed(docs), "text", "lang"), keep=["row"])
+    return unpacked(quality.kept_rows(judged), {})
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minmax.near_duplicates(spark, docs, percent=NEAR_PERCENT)
-    kept = docs.join(found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), packed(docs))
+    kept = rows.join(found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id")
     # Rows that repeat an id and its text are copies of one document.
-    kept = kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    kept = kept.dropDuplicates(["doc_id", "text_key"]).select("row")
+    return unpacked(kept.union(rows.where("doc_id IS NULL").select("row")), {})
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_index.remove_repeated(spark, docs, keep=[c for c in docs.columns if c != "text"], with_text=True)
-    found = found.withColumn("text", F.col("kept_text"))
+    rows = docs.select("doc_id", "text", packed(docs, without=("text",)))
+    found = substring_index.remove_repeated(spark, rows, keep=["row"], with_text=True)
+    changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        own = F.col("row.n_chars")
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
