@@ -52,7 +52,7 @@ EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_~`/\\"
 # Words that address somebody, in the supported languages.
 ADDRESS = frozenset("you your yours yourself du dich dir dein deine ihr euch sie tu te toi ton vous votre eres usted tú ti vosotros".split())
 
-MASKED = regex.compile(r"(?<!\S)\p{L}\*{2,}\p{L}")
+MASKED = regex.compile(r"\p{L}\*{2,}\p{L}")
 INSIDE = re.compile(r"[^\W\d_][0134578@#$*]+[^\W\d_]")
 STRETCHED = re.compile(r"([a-z])\1\1\1")
 VOTERS = ("seed", "mined word", *(f"mined beginning of {k}" for k in STARTS), "several entries", "three occurrences", "dense", "several lines", "address", "masked", "inside a word", "shouting", "exclamations", "stretched")
@@ -74,27 +74,32 @@ class Lexicon:
         kinds = {k: 2 + i for i, k in enumerate(STARTS)}
         #: The voter that an entry counts for.
         self.kind = np.array([0 if i < seeds else kinds[len(e) - 1] if e.endswith("-") else 1 for i, e in enumerate(entries)], dtype=np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Of each word that was met: its entries and patterns, or None for a plain one.
+        self.known: dict[str, tuple[tuple[int, ...], tuple[bool, ...]] | None] = {}
 
     @property
     def width(self) -> int:
         """The classifier's inputs: votes, any hit, log hits, log share, entries."""
         return len(VOTERS) + 3 + len(self.entries)
 
-    def of(self, word: str) -> tuple[int, ...]:
+    def of(self, word: str) -> tuple[tuple[int, ...], tuple[bool, ...]] | None:
+        """A word's entries, and which of the patterns it shows: masked, inside a word, shouting, exclamations, stretched."""
         w = word.lower().strip(EDGES)
-        return tuple(i for e in forms(w) if (i := self.number.get(e)) is not None)
+        found = tuple(i for e in forms(w) if (i := self.number.get(e)) is not None)
+        patterns = (bool(MASKED.match(word)), bool(INSIDE.search(word)), word.isupper(), "!!" in word or "!?" in word, bool(STRETCHED.search(word)))
+        return (found, patterns) if found or any(patterns) else None
 
     def evidence(self, text: str | None) -> np.ndarray:
         """Words that hold an entry, lines that do (2 at most), all words (0 without a hit), address, the patterns; then the entries found."""
         text = text or ""
         words, known = text.split(), self.known
         for w in set(words).difference(known):
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             known[w] = self.of(w)
-        hits = [i for i, w in enumerate(words) if known.get(w)]
-        found = sorted({e for i in hits for e in known[words[i]]})
+        odd = [(i, k) for i, w in enumerate(words) if (k := known[w] if w in known else known.setdefault(w, self.of(w)))]
+        hits = [i for i, (found, _) in odd if found]
+        found = sorted({e for _, (own, _) in odd for e in own})
         lines = address = 0
         if hits:
             near = {w.lower().strip(EDGES) for i in hits for w in words[max(0, i - 3) : i + 4]}
@@ -104,14 +109,9 @@ class Lexicon:
                 lines += not held.isdisjoint(line.split())
                 if lines == 2:
                     break
-        patterns = [
-            "**" in text and bool(MASKED.search(text)),
-            bool(INSIDE.search(text)),
-            10 * sum(map(str.isupper, words)) > 3 * len(words),
-            "!!" in text or "!?" in text,
-            bool(STRETCHED.search(text)),
-        ]
-        return np.array([len(hits), lines, len(words) if hits else 0, address, *patterns, *found], dtype=np.int32)
+        shown = [sum(p[j] for _, (_, p) in odd) for j in range(PATTERNS)]
+        shown[2] = 10 * shown[2] > 3 * len(words)
+        return np.array([len(hits), lines, len(words) if hits else 0, address, *map(bool, shown), *found], dtype=np.int32)
 
     def votes(self, evidence: np.ndarray) -> np.ndarray:
         holding, lines, n, address = evidence[:4].tolist()
