@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -19,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='tarn-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    # A path without a scheme is on Spark's default file system, which need not be the local one.
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 class Workspace:
@@ -29,9 +32,10 @@ class Workspace:
     once the results that read it have been written.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, path: str | None = None):
+        """path: a folder that is there already, to go on with."""
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/tarn-{label}-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_dir(spark)}/tarn-{label}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and read it back."""
@@ -41,9 +45,48 @@ class Workspace:
 
     def drop(self, name: str = "") -> None:
         """Delete a table that nothing reads any more, or the whole folder."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._fs(name)
+        fs.delete(path, True)
+
+
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def names(self, prefix: str) -> list[str]:
+        """Names in the folder that begin so, in order."""
+        path, fs = self._fs("")
+        found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in found if n.startswith(prefix))
+
+    def keep_text(self, name: str, text: str) -> None:
+        """Writes a small file, whole or not at all."""
+        path, fs = self._fs(name)
+        part, _ = self._fs(f"_{name}.{uuid.uuid4().hex}")
+        out = fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(part, path):
+            raise OSError(f"{path} exists")
+
+    def text(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings are these inside the block, and what they were behind it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def let(value: Column, body) -> Column:
