@@ -3,32 +3,38 @@
 Inside a word, the state after i symbols is the longest suffix that may still
 grow into a token, together with the last token of the encoding before each
 place inside it where a token may begin; this fixes every later step, so the
-states are finite. They are determinised as they are met. A transition carries the change of the token
-count, so that counting a word is a walk with additions and never builds tokens.
-
-A text is cut into blocks. The map of a block sends what is open at its left
-edge to what is open at its right edge, and a count: white space resets the
-transducer, so the map is (head up to the first reset, count between, tail
-after the last reset). Maps compose associatively, by a prefix scan in a tree.
+states are finite. They are determinised as they are met. A transition carries the
+change of the token count, so that counting a word is a walk with additions and never
+builds tokens.
+
+What a chunk of symbols does is a map from the state at its left edge to the state at
+its right edge and a count. White space resets the transducer: the map of a block of
+text that is cut there is a count alone, whatever stands before it. A word longer than
+CHUNK symbols is cut anywhere: each chunk is walked once from the start state, and the
+walk from any other state follows only until it falls in with that one, which fixes its
+end and count as well. Maps compose associatively, neighbours first, in as many rounds
+as a prefix scan has; the chunks' own walks, nearly all of the work, wait for nothing.
 
 Defined results: null counts as the empty text with no bytes and no tokens;
 special strings count as their special token; repeated rows are counted alike;
-input columns named like an output are replaced.
+input columns named like an output, in whatever case, are replaced.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
 
 import regex
 from pyspark.sql import DataFrame
 
 from tarn.llm.common import map_texts
-from tarn.llm.vocab import ODD_SPACES, WHITE, Vocabulary, vocabulary
+from tarn.llm.vocab import Vocabulary, chunks, vocabulary
 
-BLOCK = 1 << 16
+#: Characters of a block of text; symbols of a chunk inside a word, and chunks whose maps are composed at a time.
+BLOCK, CHUNK, STRETCH = 1 << 16, 4096, 64
 MAX_STATES = 150_000
-CACHE_WORDS = 300_000
+#: Words whose counts are remembered, and the longest of them.
+CACHE_WORDS, CACHE_LENGTH = 300_000, 200
 EDGE = regex.compile(r"\p{White_Space}")
 
 
@@ -87,28 +93,84 @@ class Transducer:
         out = self.arcs[state << 9 | code] = n << 8 | delta + 128
         return out
 
-    def count(self, piece: str) -> int:
+    def step(self, state: int, code: int) -> tuple[int, int]:
+        found = self.arcs.get(state << 9 | code) or self.arc(state, code)
+        return found >> 8, (found & 255) - 128
+
+    def count(self, piece: str, chunk: int = CHUNK) -> int:
         """Tokens of one piece, whose last byte is the symbol that ends a word."""
         if len(self.states) > MAX_STATES:
             self.clear()
-        state, total, get = 0, 0, self.arcs.get
         data = piece.encode()
+        if len(data) > chunk:
+            return self.count_long(data, chunk)
+        state, total, get = 0, 0, self.arcs.get
         for code in data[:-1]:
             found = get(state << 9 | code) or self.arc(state, code)
             state = found >> 8
             total += (found & 255) - 128
-        code = data[-1] + 256
-        found = get(state << 9 | code) or self.arc(state, code)
-        return total + (found & 255) - 128
+        return total + self.step(state, data[-1] + 256)[1]
+
+    def count_long(self, data: bytes, chunk: int) -> int:
+        codes = [*data[:-1], data[-1] + 256]
+        state, total = self.states[0], 0
+        for at in range(0, len(codes), chunk * STRETCH):
+            if len(self.states) > MAX_STATES:
+                self.clear()
+            part = codes[at : at + chunk * STRETCH]
+            whole = scan([StateMap(self, part[i : i + chunk]) for i in range(0, len(part), chunk)])
+            if (number := self.number.get(state)) is None:  # the states were cleared since
+                number = self.number[state] = len(self.states)
+                self.states.append(state)
+            end, count = whole(number)
+            state, total = self.states[end], total + count
+        return total
+
+
+#: A map from states to the state and the count that a chunk makes of them.
+Map = Callable[[int], tuple[int, int]]
+
+
+class StateMap:
+    """The map of one chunk, whose walk from the start state is made at once."""
+
+    def __init__(self, transducer: Transducer, codes: list[int]):
+        self.transducer, self.codes = transducer, codes
+        self.path, self.counts, state, total = [], [], 0, 0
+        for code in codes:
+            state, change = transducer.step(state, code)
+            total += change
+            self.path.append(state)
+            self.counts.append(total)
+        self.known = {0: (state, total)}
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if state not in self.known:
+            now, total = state, 0
+            for i, code in enumerate(self.codes):
+                now, change = self.transducer.step(now, code)
+                total += change
+                if now == self.path[i]:  # from here on both walks are one
+                    now, total = self.path[-1], total + self.counts[-1] - self.counts[i]
+                    break
+            self.known[state] = now, total
+        return self.known[state]
+
 
+def composed(a: Map, b: Map) -> Map:
+    def both(state: int) -> tuple[int, int]:
+        middle, x = a(state)
+        end, y = b(middle)
+        return end, x + y
 
-class BlockMap(NamedTuple):
-    """What a block does: head is open to its left, tail to its right. Without a reset all is head."""
+    return both
 
-    head: str
-    count: int
-    tail: str
-    resets: bool
+
+def scan(maps: list[Map]) -> Map:
+    """All maps composed, neighbours first, in as many rounds as the tree is deep."""
+    while len(maps) > 1:
+        maps = [composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 class Counter:
@@ -119,49 +181,39 @@ class Counter:
         self.known_pieces: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
+        if len(piece) > CACHE_LENGTH:
+            return self.transducer.count(piece)
         if (n := self.known_pieces.get(piece)) is None:
             n = self.known_pieces[piece] = self.transducer.count(piece)
         return n
 
+    def word(self, word: str) -> int:
+        """Tokens of a chunk of text without white space."""
+        return sum([self.piece(p) if p else 1 for p, _ in self.vocab.parts(word)])
+
     def words(self, words: list[str]) -> int:
-        """Tokens of chunks without white space."""
+        total = 0
         if missing := set(words).difference(self.known):
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known.clear()
                 self.known_pieces.clear()
                 missing = set(words)
+            if any(len(w) > CACHE_LENGTH for w in missing):
+                total = sum(self.word(w) for w in words if len(w) > CACHE_LENGTH)
+                words = [w for w in words if len(w) <= CACHE_LENGTH]
             for w in missing:
-                self.known[w] = sum([self.piece(p) if p else 1 for p, _ in self.vocab.parts(w)])
-        return sum(map(self.known.__getitem__, words))
-
-    def block(self, text: str) -> BlockMap:
-        first = EDGE.search(text)
-        if not first:
-            return BlockMap(text, 0, "", False)
-        inside = text[first.start() :]
-        words = inside.split() if not ODD_SPACES.search(inside) else [w for w in WHITE.split(inside) if w]
-        tail = words.pop() if words and not EDGE.match(inside[-1]) else ""
-        return BlockMap(text[: first.start()], self.words(words), tail, True)
-
-    def compose(self, a: BlockMap, b: BlockMap) -> BlockMap:
-        if not a.resets:
-            return BlockMap(a.head + b.head, b.count, b.tail, b.resets)
-        if not b.resets:
-            return BlockMap(a.head, a.count, a.tail + b.head, True)
-        joint = a.tail + b.head
-        return BlockMap(a.head, a.count + b.count + (self.words([joint]) if joint else 0), b.tail, True)
-
-    def scan(self, maps: list[BlockMap]) -> BlockMap:
-        """All maps composed, neighbours first, in as many rounds as the tree is deep."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+                if len(w) <= CACHE_LENGTH:
+                    self.known[w] = self.word(w)
+        return total + sum(map(self.known.__getitem__, words))
 
     def count(self, text: str | None, block: int = BLOCK) -> int:
-        if not text:
-            return 0
-        whole = self.scan([self.block(text[i : i + block]) for i in range(0, len(text), block)])
-        return whole.count + self.words([w for w in (whole.head, whole.tail) if w])
+        text, at, total = text or "", 0, 0
+        while at < len(text):
+            edge = EDGE.search(text, at + block) if at + block < len(text) else None
+            end = edge.start() if edge else len(text)
+            total += self.words(chunks(text[at:end]))
+            at = end
+        return total
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "text") -> DataFrame:
