@@ -7,8 +7,11 @@ bound may prove it best. Otherwise a depth-first search completes one sequence
 after another: it takes the largest piece left, enumerates undominated fillings
 around it, applies one to as many equal sequences as the counts allow, and turns
 back when the waste so far rules out an improvement; better solutions replace the
-best-fit one. The plan is a list of patterns (lengths, times used), of a size
-that depends on CAPACITY alone.
+best-fit one. The search ends with a proof, or after NODES steps; around one piece it
+grows GROWN partial fillings and follows the FILLINGS fullest, so without a proof by the
+lower bound a better packing may exist. Every result carries the lower bound, so that
+callers see what is proven. The plan is a list of patterns (lengths, times used), of a
+size that depends on CAPACITY alone.
 
 Pieces then find their place without meeting in one task: they are ranked among
 those of their length in cells of bounded size, and the rank picks the pattern's
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from tarn.llm.common import Workspace
 
 CAPACITY = 1024
-#: Search steps of the branch and bound, and fillings it tries around one piece.
-NODES, FILLINGS = 8_000, 12
+#: Search steps of the branch and bound; fillings it follows around one piece, and partial ones it grows for them.
+NODES, FILLINGS, GROWN = 8_000, 12, 480
 CELL_ROWS = 4_000
 
 Pattern = tuple[int, list[tuple[int, int]]]  # times used, [(length, pieces of it in one sequence)]
@@ -94,14 +97,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [g for room in rooms for g in groups[room]]
 
 
-def fillings(counts: np.ndarray, lengths: list[int], room: int, width: int = FILLINGS) -> list[tuple[int, ...]]:
+def fillings(counts: np.ndarray, lengths: list[int], room: int, width: int = FILLINGS, budget: int = GROWN) -> list[tuple[int, ...]]:
     """Undominated fillings of room, the fullest first.
 
     A filling that leaves room for another piece is dominated, as is one whose
     pieces can be swapped one by one for pieces at least as long.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = 40 * width
 
     def grow(room: int, top: int, taken: tuple[int, ...]) -> None:
         nonlocal budget
@@ -110,7 +112,7 @@ def fillings(counts: np.ndarray, lengths: list[int], room: int, width: int = FIL
         if budget <= 0:
             return
         budget -= 1
-        open_ = any(counts[lengths[i]] > taken.count(lengths[i]) for i in range(min(fits, 3) + 1)) if fits >= 0 else False
+        open_ = any(counts[lengths[i]] > taken.count(lengths[i]) for i in range(fits + 1))
         if not open_:
             found.append((room, taken))
             return
@@ -257,10 +259,13 @@ def _literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def place(cut_pieces: DataFrame, capacity: int = CAPACITY, work: Workspace | None = None) -> DataFrame:
-    """The pieces with sequence_id and offset. cut_pieces should be a written table: it is read three times."""
+    """The pieces with sequence_id, offset and least_sequences, the lower bound of the number of sequences.
+
+    cut_pieces should be a written table: it is read three times.
+    """
     spark = cut_pieces.sparkSession
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    patterns, _ = plan(counts, capacity)
+    patterns, bound = plan(counts, capacity)
     slots, base, rank = {}, 0, dict.fromkeys(counts, 0)
     for times, content in patterns:
         offset = 0
@@ -290,7 +295,7 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY, work: Workspace | Non
             "offset": (F.col("_slot.at") + (nth % F.col("_slot.each")) * F.col("length")).cast("long"),
         }
     )
-    return placed.select(*cut_pieces.columns, "sequence_id", "offset")
+    return placed.select(*cut_pieces.columns, "sequence_id", "offset", F.lit(bound).cast("long").alias("least_sequences"))
 
 
 def pack_documents(docs: DataFrame, ranks_file: str, spec_file: str, end: int = 2, capacity: int = CAPACITY, work: Workspace | None = None, with_ids: bool = False) -> DataFrame:
