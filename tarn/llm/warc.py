@@ -178,7 +178,8 @@ def normalise_file(files: Files, name: str, target: str) -> tuple[int, int]:
 def mark_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to and revisit of each page."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    # Equal payloads are told by SHA-256: for SHA-1, which the records carry, different ones with one digest are in circulation.
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     kept = rows.select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("kept_id"))
     marked = rows.join(kept, "digest")
     revisit = ~F.col("page_id").eqNullSafe(F.col("kept_id"))
