@@ -57,7 +57,7 @@ def test_substring_index_equals_brute_force(spark, docs, empty):
             seen.add(key)
         kept = [w for w, g in zip(own, gone) if not g]
         want.append((r[0], len(own), len(own) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-    for batches in (1, 3):
+    for batches in (1, 4):
         got = substring_index.remove_repeated(spark, docs, batches=batches)
         assert keyed(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
     assert substring_index.remove_repeated(spark, empty).count() == 0
@@ -65,11 +65,103 @@ def test_substring_index_equals_brute_force(spark, docs, empty):
     assert substring_index.remove_repeated(spark, clash, keep=["doc_id", "n_words", "doc", "places"]).columns.count("n_words") == 1
 
 
-def test_substring_index_compacts_and_stays_exact(spark):
+def windows_seen_before(docs, size=20):
+    """The (doc, start) of windows whose words start earlier, too."""
+    seen, out = set(), set()
+    for doc, text in sorted(docs):
+        own = words(text)
+        for i in range(len(own) - size + 1):
+            key = tuple(own[i : i + size])
+            if key in seen:
+                out.add((doc, i))
+            seen.add(key)
+    return out
+
+
+def starts_of(places):
+    return {(r["doc"], s) for r in places.collect() for s in range(r["place"] >> 8, (r["place"] >> 8) + (r["place"] & 255))}
+
+
+def made_batches(n=6, each=25):
+    """Texts that share passages, parts of passages, and whole copies, in changing surroundings."""
+    import random
+
+    rnd = random.Random(9)
+    passages = [[f"p{k}w{i}" for i in range(60)] for k in range(5)]
+    out = []
+    for doc in range(n * each):
+        text = []
+        for _ in range(3):
+            text += [f"own{doc}x{rnd.randrange(10**6)}" for _ in range(rnd.randrange(30))]
+            part = passages[rnd.randrange(5)]
+            text += part[rnd.randrange(20) : rnd.randrange(35, 61)]
+        out.append((doc, " ".join(text)))
+        if doc % 10 == 9:
+            out[-1] = (doc, out[doc // 2][1])
+    return [out[i : i + each] for i in range(0, len(out), each)]
+
+
+def test_substring_index_compacts_reopens_and_stays_exact(spark):
+    """Batches against brute force; runs are merged level by level, and another object goes on with what is on disk."""
+    from tarn.llm.common import Workspace
+
+    batches, work = made_batches(), Workspace(spark, "t")
+    want, got, done = windows_seen_before([d for b in batches for d in b]), set(), []
+    index = substring_index.SubstringIndex(spark, work, buckets=5)
+    levels = []
+    for k, batch in enumerate(batches):
+        if k == 3:
+            index = substring_index.SubstringIndex(spark, Workspace(spark, "t", work.path), buckets=99)
+            assert index.buckets == 5 and index.made == 3
+        done += batch
+        frame = lambda rows: spark.createDataFrame(rows, "doc long, text string")
+        got |= starts_of(index.add(frame(batch), frame(done)))
+        index.compact()
+        levels.append([r["level"] for r in index.runs])
+    assert got == want
+    assert levels == [[0], [1], [1, 0], [2], [2, 0], [2, 1]]
+    again = substring_index.SubstringIndex(spark, Workspace(spark, "t", work.path))
+    assert again.runs == index.runs and again.last == len(done) - 1
+    # A merged run is sorted, and holds each key once.
+    for kind, (keys, _) in index.KINDS.items():
+        rows = index._run(index.runs[0], kind)
+        assert rows.count() == rows.select(*keys).distinct().count() > 0
+
+
+def test_substring_index_joins_runs_in_place(spark):
+    """Neither side of a merge is exchanged or sorted again but for the batch's own rows."""
+    from tarn.llm.common import Workspace
+
+    batches = made_batches(2)
+    index = substring_index.SubstringIndex(spark, Workspace(spark, "t"), buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "doc long, text string")
+    for k in range(2):
+        index.add(frame(batches[k]), frame(batches[0] + batches[k]))
+    with index._in_place():
+        runs = [index._run(r, "spans").select("fp", "doc") for r in index.runs]
+        plan = runs[0].join(runs[1].withColumnRenamed("doc", "other").hint("merge"), "fp", "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_substring_index_sends_a_row_for_each_key_and_task():
+    """What a third of all documents hold leaves a task as one row; the rest travels under keys of its own."""
+    import pyarrow as pa
+
+    docs = [(i, f"{PASSAGE} own{i} " + " ".join(f"z{i}y{j}" for j in range(30))) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], names=["doc", "text"])
+    rows = pa.Table.from_batches(list(substring_index._entries([batch]))).to_pylist()
+    keyed_rows = Counter(r["fp"] for r in rows)
+    assert max(keyed_rows.values()) == 1
+    kinds = Counter(r["kind"] for r in rows)
+    assert kinds[substring_index.SEVERAL] >= 1 and kinds[substring_index.REPEAT] > 299 and kinds[substring_index.VERIFY] >= 300
+
+
+def test_remove_repeated_takes_a_hot_passage_and_many_batches(spark):
     lines = [(i, f"start {i} {PASSAGE} {i} end") for i in range(12)]
     docs = spark.createDataFrame(lines, "doc_id long, text string")
-    got = {r["doc_id"]: r["n_removed"] for r in substring_index.remove_repeated(spark, docs, batches=6, with_text=True).collect()}
-    assert got[0] == 0 and all(got[i] == 55 for i in range(1, 12))
+    for batches in (1, 2, 3, 6):
+        got = {r["doc_id"]: r["n_removed"] for r in substring_index.remove_repeated(spark, docs, batches=batches, with_text=True).collect()}
+        assert got[0] == 0 and all(got[i] == 55 for i in range(1, 12))
 
 
 def test_kept_text_keeps_line_ends():
@@ -201,6 +293,46 @@ def test_block_maps_compose_at_any_cut():
         assert all(counter.count(text, n) == whole for n in (1, 2, 3, 7, 50))
 
 
+def test_state_maps_compose_at_any_cut(monkeypatch):
+    """Long words without white space against the library, cut into chunks of any size, over cleared states too."""
+    import random
+
+    path, rnd = P.path("word_bpe_49k.json"), random.Random(2)
+    lib, counter = Tokenizer.from_file(path), token_fst.Counter(path)
+    pieces = ["nospaceatall" * 90, "".join(rnd.choice("aeiourstnlm") for _ in range(3000)), "é" * 700, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéüß") for _ in range(1500))]
+    for piece in pieces:
+        want = len(lib.encode(piece, add_special_tokens=False).ids)
+        assert counter.count(piece) == want
+        (symbols,) = [p for p, _ in counter.vocab.parts(piece)]
+        assert all(counter.transducer.count(symbols, chunk) == want for chunk in (1, 2, 5, 64, 1000))
+    monkeypatch.setattr(token_fst, "MAX_STATES", 500)
+    assert counter.transducer.count(counter.vocab.parts(pieces[1])[0][0], 7) == len(lib.encode(pieces[1], add_special_tokens=False).ids)
+
+
+def test_state_map_is_a_map_of_states():
+    """Of any state: its end and count are those of a walk from it."""
+    transducer = token_fst.Transducer(token_fst.vocabulary(P.path("word_bpe_49k.json")))
+    codes = list(b"internationalisation")
+    whole = token_fst.StateMap(transducer, codes)
+    for before in (b"", b"a", b"the", b"xyz", b"straw"):
+        state = 0
+        for c in before:
+            state, _ = transducer.step(state, c)
+        now, total = state, 0
+        for c in codes:
+            now, change = transducer.step(now, c)
+            total += change
+        assert whole(state) == (now, total)
+        halves = token_fst.scan([token_fst.StateMap(transducer, codes[i : i + 3]) for i in range(0, len(codes), 3)])
+        assert halves(state) == (now, total)
+
+
+def test_counting_replaces_clashing_columns(docs):
+    path = P.path("word_bpe_49k.json")
+    clash = docs.withColumns({"N_Tokens": docs["lang"], "n_bytes": docs["lang"], "row": docs["source"]})
+    assert token_fst.count_tokens(clash, path).columns == ["doc_id", "lang", "source", "n_chars", "row", "n_bytes", "n_tokens", "over_limit"]
+
+
 def test_decoding_inverts_names(spark):
     path = P.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
@@ -218,7 +350,8 @@ def test_packing_places_every_piece_once(spark, docs, empty):
         ids = [*lib.encode(r[1] or "", add_special_tokens=False).ids, 2]
         for k, (start, n) in enumerate(packing.cut(len(ids))):
             want[r[0], k, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())] += 1
-    got = packing.pack_documents(docs, *files).collect()
+    got = packing.pack_documents(docs.withColumns({"length": docs["lang"], "offset": docs["lang"]}), *files).collect()
+    assert {r["least_sequences"] for r in got} == {len({r["sequence_id"] for r in got})}  # proven to be the fewest
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     sequences = defaultdict(list)
     for r in got:
