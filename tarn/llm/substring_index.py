@@ -132,9 +132,9 @@ WINDOW_ROW = "w long, check long, doc long, place long, kind int"
 WINDOW_RUN = WINDOW_ROW
 
 
-def _spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Keys that deal decided rows evenly."""
-    return mixed(doc.astype(np.uint64) * _R1 + place.astype(np.uint64) * _R3).view(np.int64)
+def _spread(doc: np.ndarray) -> np.ndarray:
+    """Keys that deal decided rows evenly, those of a document together."""
+    return mixed(doc.astype(np.uint64) * _R1 + _R3).view(np.int64)
 
 
 def _record_batch(parts: list[tuple], schema: str):
@@ -161,10 +161,11 @@ def _entries(batches):
         first = head | np.concatenate([[True], span[1:] != span[:-1]])
         group = np.cumsum(head) - 1
         several = (np.bincount(group, weights=first) > 1)[group]
-        parts = []
-        for kind, mask in ((INDEX, first & ~several), (SEVERAL, head & several), (VERIFY, first & several), (REPEAT, ~first)):
-            key = fp[mask] if kind in (INDEX, SEVERAL) else _spread(doc[mask], place[mask])
-            parts.append((key, span[mask], doc[mask], place[mask], np.full(int(mask.sum()), kind)))
+        parts = [(fp[m], span[m], doc[m], place[m], np.full(int(m.sum()), kind)) for kind, m in ((INDEX, first & ~several), (SEVERAL, head & several))]
+        for kind, mask in ((VERIFY, first & several), (REPEAT, ~first)):  # in the documents' order, which packs well
+            at = np.flatnonzero(mask)
+            at = at[np.lexsort((place[at], doc[at]))]
+            parts.append((_spread(doc[at]), np.zeros(len(at), dtype=np.int64), doc[at], place[at], np.full(len(at), kind)))
         return _record_batch(parts, SPAN_ROW)
 
     for batch in batches:
@@ -258,9 +259,10 @@ def _windows(after: int | None):
             w, check, doc, place = w[order].view(np.int64), check[order].view(np.int64), doc[order], start[order] << 8 | 1
             first = np.concatenate([[True], (w[1:] != w[:-1]) | (check[1:] != check[:-1])])
             old = np.zeros(len(doc), dtype=bool) if after is None else doc <= after
-            later = ~first & ~old
+            later = np.flatnonzero(~first & ~old)
+            later = later[np.lexsort((place[later], doc[later]))]
             rows = (w[first], check[first], doc[first], place[first], np.where(old[first], HISTORY, INDEX))
-            return _record_batch([rows, (_spread(doc[later], place[later]), check[later], doc[later], place[later], np.full(int(later.sum()), REPEAT))], WINDOW_ROW)
+            return _record_batch([rows, (_spread(doc[later]), np.zeros(len(later), dtype=np.int64), doc[later], place[later], np.full(len(later), REPEAT))], WINDOW_ROW)
 
         for batch in batches:
             docs = batch.column(0).to_numpy()
