@@ -18,7 +18,12 @@ from tarn.sources import files
 
 def table_arguments(pairs: list[str]) -> dict[str, str]:
     """name=path arguments; a bare path is the table `input`."""
-    return {(name if path else "input"): os.path.abspath(path or name) for name, _, path in (p.partition("=") for p in pairs)}
+    return {(name if path else "input"): located(path or name) for name, _, path in (p.partition("=") for p in pairs)}
+
+
+def located(path: str) -> str:
+    """A path with a scheme as it is, others from here."""
+    return path if "://" in path else os.path.abspath(path)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
@@ -72,18 +77,18 @@ def run(args, spark: SparkSession, out) -> int:
             if args.format == "json":
                 out.write("\n")
             return 0
-        made = sinks.create_table_as(df, os.path.abspath(args.output), partition_by=[c for c in args.partition_by.split(",") if c])
+        made = sinks.create_table_as(df, located(args.output), partition_by=[c for c in args.partition_by.split(",") if c])
         if args.manifest:
             sinks.write_manifest(made["manifest"], args.manifest)
         print(json.dumps({"rows": made["rows"], "files": len(made["files"])}), file=out)
     elif args.command == "inspect":
-        for f in files.list_files(spark, os.path.abspath(args.path)):
+        for f in files.list_files(spark, located(args.path)):
             print(json.dumps({"path": f.path, "bytes": f.size, **explain.row_groups(f.path, None)}), file=out)
     elif args.command == "schema":
-        df = files.read_parquet(spark, files.list_files(spark, os.path.abspath(args.path)), ordinal=False)
+        df = files.read_parquet(spark, files.list_files(spark, located(args.path)), ordinal=False)
         print(json.dumps({f.name: f.dataType.simpleString() for f in df.schema.fields}), file=out)
     else:
-        sinks.compact(spark, os.path.abspath(args.path), os.path.abspath(args.output), args.max_rows_per_file)
+        sinks.compact(spark, located(args.path), located(args.output), args.max_rows_per_file)
     return 0
 
 

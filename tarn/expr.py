@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 from dataclasses import dataclass, fields
 from typing import Any
 
@@ -234,6 +235,82 @@ def fn(name: str, *args) -> Call:
     return Call(name.lower(), tuple(map(wrap, args)))
 
 
+# Geometry and H3, by name.
+
+
+def st_point(lon, lat) -> Call:
+    return fn("st_point", lon, lat)
+
+
+def st_bbox(minx, miny, maxx, maxy) -> Call:
+    return fn("st_bbox", minx, miny, maxx, maxy)
+
+
+def st_geojson(shape: dict) -> Lit:
+    """A GeoJSON object as a literal."""
+    return Lit(json.dumps(shape, separators=(",", ":")))
+
+
+def st_x(geometry) -> Call:
+    return fn("st_x", geometry)
+
+
+def st_y(geometry) -> Call:
+    return fn("st_y", geometry)
+
+
+def st_intersects(a, b) -> Call:
+    return fn("st_intersects", a, b)
+
+
+def st_disjoint(a, b) -> Call:
+    return fn("st_disjoint", a, b)
+
+
+def st_contains(a, b) -> Call:
+    return fn("st_contains", a, b)
+
+
+def st_within(a, b) -> Call:
+    return fn("st_within", a, b)
+
+
+def st_dwithin(a, b, distance) -> Call:
+    return fn("st_dwithin", a, b, distance)
+
+
+def st_distance(a, b) -> Call:
+    return fn("st_distance", a, b)
+
+
+def st_area(geometry) -> Call:
+    return fn("st_area", geometry)
+
+
+def st_length(geometry) -> Call:
+    return fn("st_length", geometry)
+
+
+def st_centroid(geometry) -> Call:
+    return fn("st_centroid", geometry)
+
+
+def st_envelope(geometry) -> Call:
+    return fn("st_envelope", geometry)
+
+
+def h3_in(cell, cells: list[str]) -> Call:
+    return fn("h3_in", cell, json.dumps(cells))
+
+
+def h3_parent(cell, resolution: int) -> Call:
+    return fn("h3_parent", cell, resolution)
+
+
+def h3_within(cell, origin, distance: int) -> Call:
+    return fn("h3_within", cell, origin, distance)
+
+
 def case(*whens, otherwise=None) -> Case:
     return Case(tuple((wrap(c), wrap(v)) for c, v in whens), None if otherwise is None else wrap(otherwise))
 

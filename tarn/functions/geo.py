@@ -1,12 +1,16 @@
-"""Planar geometry: points, line strings, polygons and boxes, in Arrow-batched functions.
-
-Geometries are GeoJSON or box JSON strings, POINT(x y) text, or WKB/EWKB bytes.
-Predicates first compare envelopes; only overlapping ones are examined exactly.
-Edges belong to their polygon for st_intersects, not for st_contains of a point.
+"""Planar geometry: points, line strings, polygons and boxes.
+
+Geometries are GeoJSON or box JSON strings, POINT(x y) text, or WKB/EWKB bytes. What is
+known to be a point or a box, made by st_point() and st_bbox() or written as a literal,
+is plain Columns throughout. Other shapes are examined in Arrow-batched functions; in a
+condition on texts a Column compares the envelopes first, and only rows whose envelopes
+meet reach Python. Edges belong to their polygon for st_intersects, not for st_contains
+of a point.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -289,23 +293,205 @@ def batched(of, kind: str, shapes: int, numbers: int = 0):
     return column
 
 
-def _entry(name, shapes, numbers, of, kind, result):
-    return name, shapes + numbers, batched(of, kind, shapes, numbers), result
+_NUMBER = r"(-?[0-9][0-9.eE+-]*)"
+_PAIR = rf"\[\s*{_NUMBER}\s*,\s*{_NUMBER}"
+_POINT_TEXT = r"(?i)^\s*POINT\s*\(\s*([^\s)]+)\s+([^\s)]+)\s*\)\s*$"
+
+
+def _known(t):
+    """What is known of a shape: ("Point", x, y) or ("BBox", minx, miny, maxx, maxy) as Columns."""
+    if t.shape or not t.is_literal or not isinstance(t.literal, (str, bytes)):
+        return t.shape
+    s = parse(t.literal)
+    if s.kind == "Point":
+        return ("Point", *map(F.lit, s.points[0]))
+    return ("BBox", *map(F.lit, s.box)) if s.kind == "BBox" else None
+
+
+def _corners(shape: tuple) -> tuple:
+    return shape[1:] if shape[0] == "BBox" else (*shape[1:], *shape[1:])
+
+
+def _envelope(t) -> tuple | None:
+    """The corners of a geometry's envelope as Columns, null where a text does not show them; None if there is no telling."""
+    if shape := _known(t):
+        return _corners(shape)
+    if t.is_literal and isinstance(t.literal, (str, bytes)):
+        return tuple(map(F.lit, parse(t.literal).box))
+    if t.kind != "string":
+        return None
+    c = t.column
+    ends = []
+    for i, (low, high) in enumerate((("minx", "maxx"), ("miny", "maxy"))):
+        places = F.transform(F.regexp_extract_all(c, F.lit(_PAIR), F.lit(i + 1)), lambda v: v.try_cast("double"))
+        alone = F.regexp_extract(c, _POINT_TEXT, i + 1).try_cast("double")
+        ends.append([F.coalesce(pick(places), F.get_json_object(c, f"$.{side}").try_cast("double"), alone) for pick, side in ((F.array_min, low), (F.array_max, high))])
+    return ends[0][0], ends[1][0], ends[0][1], ends[1][1]
+
+
+def _number_text(x: Column) -> Column:
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    plain = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)
+    spelled = F.regexp_replace(x.try_cast("decimal(38,18)").cast("string"), "\\.?0+$", "")
+    return F.when(whole, x.cast("long").cast("string")).when(plain, x.cast("string")).otherwise(F.coalesce(spelled, x.cast("string")))
+
+
+def _point_text(x: Column, y: Column) -> Column:
+    return F.concat(F.lit('{"type":"Point","coordinates":['), _number_text(x), F.lit(","), _number_text(y), F.lit("]}"))
+
+
+def _box_text(a: Column, b: Column, c: Column, d: Column) -> Column:
+    pieces = [F.lit('{"type":"BBox"')]
+    for name, v in (("minx", a), ("miny", b), ("maxx", c), ("maxy", d)):
+        pieces += [F.lit(f',"{name}":'), _number_text(v)]
+    return F.concat(*pieces, F.lit("}"))
+
+
+def _numbers(args) -> list[Column]:
+    for a in args:
+        if a.kind not in ("number", "null"):
+            raise type_error("a number is expected")
+    return [a.column.cast("double") for a in args]
+
+
+def _refused(bad: Column, value: Column, message: str) -> Column:
+    return F.when(bad, F.raise_error(F.lit(f"TARN_TYPE_ERROR: {message}")).cast("double")).otherwise(value)
+
+
+def _infinite(*values: Column) -> Column:
+    return functools.reduce(lambda p, q: p | q, [F.isnan(v) | (F.abs(v) == float("inf")) for v in values])
+
+
+def _shaped(shape: tuple, text: Column):
+    from tarn.plans.compile import Typed
+
+    return Typed(text, "string", shape=shape)
+
+
+def point_column(*args):
+    """Null if a coordinate is."""
+    values = _numbers(args)
+    x, y = (F.when(values[0].isNotNull() & values[1].isNotNull(), _refused(_infinite(*values), v, "st_point() expects finite numbers")) for v in values)
+    return _shaped(("Point", x, y), _point_text(x, y))
+
+
+def box_column(*args):
+    v = _numbers(args)
+    bad = _infinite(*v) | (v[0] > v[2]) | (v[1] > v[3])
+    some = functools.reduce(lambda p, q: p & q, [c.isNotNull() for c in v])
+    corners = [F.when(some, _refused(bad, c, "st_bbox() expects finite ordered bounds")) for c in v]
+    return _shaped(("BBox", *corners), _box_text(*corners))
+
+
+def coordinate_column(i: int):
+    exact = batched(coordinate(i), "double", 1)
+
+    def of(t) -> Column:
+        if (shape := _known(t)) and shape[0] == "Point":
+            return shape[1 + i]
+        if t.kind != "string":
+            return exact(t)
+        c = t.column
+        own = F.from_json(c, "struct<type:string,coordinates:array<double>>")
+        place = F.when((own["type"] == "Point") & (F.size(own["coordinates"]) >= 2), F.get(own["coordinates"], i))
+        alone = F.regexp_extract(c, _POINT_TEXT, i + 1).try_cast("double")
+        wrong = F.raise_error(F.lit("TARN_TYPE_ERROR: a Point is expected")).cast("double")
+        return F.when(c.isNotNull(), F.coalesce(place, alone, wrong))
+
+    return of
+
+
+def _overlap(p: tuple, q: tuple, by: Column | None = None) -> Column:
+    far = [p[0] - q[2], q[0] - p[2], p[1] - q[3], q[1] - p[3]]
+    return functools.reduce(lambda a, b: a & b, [d <= (F.lit(0.0) if by is None else by) for d in far])
+
+
+def _gap(p: tuple, q: tuple) -> Column:
+    none = F.lit(0.0)
+    value = F.hypot(F.greatest(p[0] - q[2], q[0] - p[2], none), F.greatest(p[1] - q[3], q[1] - p[3], none))
+    # greatest() passes over nulls, a missing geometry has no distance.
+    return F.when(functools.reduce(lambda a, b: a & b, [c.isNotNull() for c in (*p, *q)]), value)
+
+
+def _box_contains(a: tuple, b: tuple) -> Column:
+    p, q = _corners(a), _corners(b)
+    if a[0] == "Point":
+        both = (a[1] == q[0]) & (a[2] == q[1])
+        return both if b[0] == "Point" else F.when(both.isNotNull(), F.lit(False))
+    if b[0] == "Point":
+        return (q[0] > p[0]) & (q[0] < p[2]) & (q[1] > p[1]) & (q[1] < p[3])
+    return (q[0] >= p[0]) & (q[2] <= p[2]) & (q[1] >= p[1]) & (q[3] <= p[3])
+
+
+def predicate(exact_of, of_known, needs_overlap: bool = True):
+    """of_known on points and boxes; on other shapes exact_of, behind a comparison of envelopes if it needs them to meet."""
+    exact = batched(exact_of, "boolean", 2)
+
+    def of(a, b) -> Column:
+        known = _known(a), _known(b)
+        if all(known):
+            return of_known(*known)
+        found = exact(a, b)
+        ends = _envelope(a), _envelope(b)
+        return F.coalesce(_overlap(*ends), F.lit(True)) & found if needs_overlap and all(ends) else found
+
+    return of
+
+
+def dwithin_column(a, b, d) -> Column:
+    exact = batched(lambda p, q, by: not _apart(p, q, by) and exact_distance(p, q) <= by, "boolean", 2, 1)
+    known, by = (_known(a), _known(b)), _numbers([d])[0]
+    if all(known):
+        return _gap(*map(_corners, known)) <= by
+    found, ends = exact(a, b, d), (_envelope(a), _envelope(b))
+    return F.coalesce(_overlap(*ends, by), F.lit(True)) & found if all(ends) else found
+
+
+def measured(of_shape, kind: str, of_known):
+    """A function of one geometry: of_known on a point or a box, of_shape on others."""
+    exact = batched(of_shape, kind, 1)
+
+    def of(t):
+        known = _known(t)
+        return of_known(known) if known else exact(t)
+
+    return of
+
+
+def distance_column(a, b) -> Column:
+    known = _known(a), _known(b)
+    return _gap(*map(_corners, known)) if all(known) else batched(box_distance, "double", 2)(a, b)
+
+
+def _sides(shape: tuple) -> tuple[Column, Column]:
+    a, b, c, d = _corners(shape)
+    return c - a, d - b
+
+
+def _centre(shape: tuple):
+    a, b, c, d = _corners(shape)
+    x, y = (a + c) / 2, (b + d) / 2
+    return _shaped(("Point", x, y), _point_text(x, y))
+
+
+def _round_about(shape: tuple) -> Column:
+    w, h = _sides(shape)
+    return w + h + w + h
 
 
 FUNCTIONS = [
-    _entry("st_point", 0, 2, make_point, "string", "string"),
-    _entry("st_bbox", 0, 4, make_box, "string", "string"),
-    _entry("st_x", 1, 0, coordinate(0), "double", "number"),
-    _entry("st_y", 1, 0, coordinate(1), "double", "number"),
-    _entry("st_intersects", 2, 0, intersects, "boolean", "boolean"),
-    _entry("st_disjoint", 2, 0, lambda a, b: not intersects(a, b), "boolean", "boolean"),
-    _entry("st_contains", 2, 0, contains, "boolean", "boolean"),
-    _entry("st_within", 2, 0, lambda a, b: contains(b, a), "boolean", "boolean"),
-    _entry("st_dwithin", 2, 1, lambda a, b, d: not _apart(a, b, d) and exact_distance(a, b) <= d, "boolean", "boolean"),
-    _entry("st_distance", 2, 0, box_distance, "double", "number"),
-    _entry("st_area", 1, 0, area, "double", "number"),
-    _entry("st_length", 1, 0, length, "double", "number"),
-    _entry("st_centroid", 1, 0, centroid, "string", "string"),
-    _entry("st_envelope", 1, 0, lambda s: box_json(*s.box), "string", "string"),
+    ("st_point", 2, point_column, "string"),
+    ("st_bbox", 4, box_column, "string"),
+    ("st_x", 1, coordinate_column(0), "number"),
+    ("st_y", 1, coordinate_column(1), "number"),
+    ("st_intersects", 2, predicate(intersects, lambda a, b: _overlap(_corners(a), _corners(b))), "boolean"),
+    ("st_disjoint", 2, predicate(lambda a, b: not intersects(a, b), lambda a, b: ~_overlap(_corners(a), _corners(b)), False), "boolean"),
+    ("st_contains", 2, predicate(contains, _box_contains), "boolean"),
+    ("st_within", 2, predicate(lambda a, b: contains(b, a), lambda a, b: _box_contains(b, a)), "boolean"),
+    ("st_dwithin", 3, dwithin_column, "boolean"),
+    ("st_distance", 2, distance_column, "number"),
+    ("st_area", 1, measured(area, "double", lambda s: _sides(s)[0] * _sides(s)[1]), "number"),
+    ("st_length", 1, measured(length, "double", _round_about), "number"),
+    ("st_centroid", 1, measured(centroid, "string", _centre), "string"),
+    ("st_envelope", 1, measured(lambda s: box_json(*s.box), "string", lambda s: _shaped(("BBox", *_corners(s)), _box_text(*_corners(s)))), "string"),
 ]

@@ -123,7 +123,8 @@ def regexp_replace(s: Typed, pattern: Typed, by: Typed, options: Typed | None =
         return Typed(F.regexp_replace(c, body, java), "string")
     flags = re.match(r"\(\?[ims]+\)", body)
     inner = body[flags.end() :] if flags else body
-    once = f"{flags.group() if flags else ''}(?:{inner})(?<tarnrest>[\\s\\S]*)\\z"
+    # Not again at the end of the text, where the match before it ended: a pattern may match nothing.
+    once = f"{flags.group() if flags else ''}(?!\\G(?<=[\\s\\S]))(?:{inner})(?<tarnrest>[\\s\\S]*)\\z"
     return Typed(F.regexp_replace(c, once, java + "${tarnrest}"), "string")
 
 
@@ -220,7 +221,11 @@ register("abs", 1)(lambda x: Typed(F.abs(want(x, "number").cast("double")), "num
 
 
 def spatial(name: str, least: int, of, kind: str):
-    register(name, least)(lambda *args: Typed(of(*args), kind))
+    def made(*args: Typed) -> Typed:
+        found = of(*args)
+        return found if isinstance(found, Typed) else Typed(found, kind)
+
+    register(name, least)(made)
 
 
 for _n, _k, _f, _kind in geo.FUNCTIONS:

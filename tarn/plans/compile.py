@@ -25,12 +25,13 @@ COMPARE = {"eq": operator.eq, "ne": operator.ne, "lt": operator.lt, "lte": opera
 
 @dataclass(frozen=True)
 class Typed:
-    """A Column, its kind, and the literal behind it if it is one."""
+    """A Column, its kind, the literal behind it if it is one, and the point or box that a geometry is known to be."""
 
     column: Column
     kind: str
     literal: object = None
     is_literal: bool = False
+    shape: tuple | None = None
 
 
 def kind_of(t: T.DataType) -> str:
@@ -147,7 +148,8 @@ def as_time(t: Typed) -> Typed:
     if t.kind == "time" or t.kind == "null":
         return t
     if t.kind == "string":
-        return Typed(F.to_timestamp_ntz(F.regexp_replace(F.replace(t.column, F.lit("T"), F.lit(" ")), "Z$", "")), "time")
+        # An offset is taken into account; sessions run in UTC, which texts without one are in.
+        return Typed(t.column.cast("timestamp").cast("timestamp_ntz"), "time")
     if t.kind == "number":
         return Typed(F.timestamp_millis(t.column.cast("long")), "time")
     raise type_error(f"a time is expected, not {t.kind}")

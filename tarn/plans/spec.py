@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from dataclasses import dataclass, field, replace
 
 from tarn.errors import EngineError, type_error
@@ -52,6 +53,13 @@ class QuerySpec:
     def with_(self, **changes) -> QuerySpec:
         return replace(self, **changes)
 
+    def columns(self) -> set[str]:
+        """Columns that the query names."""
+        used = set(self.select or ()) | {o.column for o in self.order_by}
+        for e in [self.where, *[e for _, e in self.project]]:
+            used |= e.columns() if e is not None else set()
+        return used
+
     def to_json(self) -> dict:
         return {
             "source": self.source,
@@ -98,7 +106,12 @@ def fingerprint(data) -> str:
 
 @dataclass(frozen=True)
 class Budget:
-    """Bounds that are checked before or while a query runs. None: unbounded."""
+    """Bounds that are checked before or while a query runs. None: unbounded.
+
+    max_files, max_bytes, max_rows_decoded and max_range_requests (column chunks) are checked on the
+    pruned files and their footers; max_buffered_rows and max_memory_bytes on the rows that an
+    order has to hold; max_concurrent_reads bounds a scan's tasks; signal, an event, stops a run.
+    """
 
     max_files: int | None = None
     max_bytes: int | None = None
@@ -106,6 +119,10 @@ class Budget:
     max_output_rows: int | None = None
     max_buffered_rows: int | None = None
     max_elapsed_ms: int | None = None
+    max_range_requests: int | None = None
+    max_memory_bytes: int | None = None
+    max_concurrent_reads: int | None = None
+    signal: threading.Event | None = None
 
     def check(self, name: str, found: int) -> None:
         most = getattr(self, name)
@@ -122,21 +139,27 @@ class Policy:
     row_filter: object = None
     context: dict = field(default_factory=dict)
 
+    @property
+    def rule(self) -> Expr | None:
+        return self.row_filter(self.context) if callable(self.row_filter) else self.row_filter
+
+    def check(self, used: set[str]) -> None:
+        """Refuses columns that may not be seen."""
+        if self.allowed_columns is not None and (bad := sorted(used - {*self.allowed_columns, "*"})):
+            raise EngineError("VALIDATION_ERROR", f"columns are not allowed: {bad}", columns=bad)
+
+    def most(self, limit: int | None) -> int | None:
+        """A limit within the policy's."""
+        return min((n for n in (limit, self.max_limit) if n is not None), default=None)
+
     def apply(self, spec: QuerySpec) -> QuerySpec:
         from tarn.expr import and_
 
         if self.allowed_columns is not None:
-            allowed = sorted(set(self.allowed_columns))
-            used = set(spec.select or ()) | {o.column for o in spec.order_by}
-            for e in [spec.where, *[e for _, e in spec.project]]:
-                used |= e.columns() if e is not None else set()
-            if bad := sorted(used - {*allowed, "*"}):
-                raise EngineError("VALIDATION_ERROR", f"columns are not allowed: {bad}", columns=bad)
+            self.check(spec.columns())
             if (spec.select is None and not spec.project) or spec.select == ("*",):
-                spec = spec.with_(select=tuple(allowed))
-        rule = self.row_filter(self.context) if callable(self.row_filter) else self.row_filter
+                spec = spec.with_(select=tuple(sorted(set(self.allowed_columns))))
+        rule = self.rule
         if rule is not None:
             spec = spec.with_(where=rule if spec.where is None else and_(rule, spec.where))
-        if self.max_limit is not None:
-            spec = spec.with_(limit=self.max_limit if spec.limit is None else min(spec.limit, self.max_limit))
-        return spec
+        return spec.with_(limit=self.most(spec.limit))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+from collections import deque
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
@@ -81,13 +82,32 @@ def scan(spark: SparkSession, task: Task) -> DataFrame:
     return df if task.columns is None else df.select(*[quoted(c) for c in task.columns])
 
 
-def fan_in(inputs: Iterable, run: Callable, reduce: Callable, initial, max_concurrent: int = 4, boundary: Callable | None = None):
-    """run() for each input on some threads; results are reduced in the inputs' order."""
-    state = initial
+def fan_in(inputs: Iterable, run: Callable, reduce: Callable, initial, max_concurrent: int = 4, boundary: Callable | None = None, max_buffered: int = 16):
+    """run() for each input on some threads; results are reduced in the inputs' order.
+
+    An input is taken only when fewer than max_buffered results are under way or wait for their turn.
+    """
+    if max_concurrent < 1 or max_buffered < 1:
+        raise EngineError("VALIDATION_ERROR", "one unit at least runs, and one result at least is held")
+    state, waiting, rest = initial, deque(), iter(inputs)
     with ThreadPoolExecutor(max_concurrent) as pool:
-        for part in pool.map(lambda x: run(boundary(x) if boundary else x), inputs):
-            state = reduce(state, part)
-    return state
+        try:
+            while True:
+                while len(waiting) < max_buffered and (x := next(rest, waiting)) is not waiting:
+                    waiting.append(pool.submit(lambda x=x: run(boundary(x) if boundary else x)))
+                if not waiting:
+                    return state
+                state = reduce(state, waiting.popleft().result())
+        finally:
+            for left in waiting:
+                left.cancel()
+
+
+def aggregate(spark: SparkSession, units: list[Task], keys: list[str], spec: dict, folder: str | None = None, **more) -> DataFrame:
+    """Groups over work units, from partial aggregates of each; spec: {alias: Aggregate}."""
+    from tarn.operators.state import aggregate_units
+
+    return aggregate_units(spark, units, lambda unit: scan(spark, unit), keys, spec, folder, **more)
 
 
 def json_boundary(value):

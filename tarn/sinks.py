@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import datetime
 import decimal
-import hashlib
 import json
 import math
-import os
 import re
-import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import quote, unquote, unquote_plus
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,13 +75,69 @@ def csv(df: DataFrame, header: bool = True) -> Iterator[str]:
         yield ",".join(map(_cell, row)) + "\n"
 
 
-def arrow_ipc(df: DataFrame, stream: bool = True) -> bytes:
-    """The rows as an Arrow IPC stream or file. Nested and binary columns are refused."""
-    import pyarrow as pa
-
+def _flat(df: DataFrame) -> None:
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
             raise EngineError("TYPE_ERROR", f"{f.name} cannot be sent as Arrow", column=f.name)
+
+
+def arrow_batches(df: DataFrame, size: int = 4096) -> Iterator:
+    """Record batches of at most size rows, fetched a partition at a time."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    _flat(df)
+    schema, held = to_arrow_schema(df.schema), []
+    zones = [f.dataType for f in df.schema.fields]
+
+    def batch():
+        columns = zip(*held, strict=True) if held else [[] for _ in schema]
+        arrays = [pa.array([v.replace(tzinfo=datetime.timezone.utc) if isinstance(t, T.TimestampType) and v is not None and v.tzinfo is None else v for v in c], type=f.type) for c, f, t in zip(columns, schema, zones, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    sent = False
+    for row in df.toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == size:
+            yield batch()
+            held, sent = [], True
+    if held or not sent:
+        yield batch()
+
+
+def arrow_stream(df: DataFrame, size: int = 4096) -> Iterator[bytes]:
+    """An Arrow IPC stream in pieces, none of which holds the whole result."""
+    import pyarrow as pa
+
+    class Sink:
+        def __init__(self):
+            self.pieces, self.closed = [], False
+
+        def write(self, data):
+            self.pieces.append(bytes(data))
+            return len(data)
+
+        def flush(self):
+            pass
+
+        def close(self):
+            self.closed = True
+
+    sink, writer = Sink(), None
+    for batch in arrow_batches(df, size):
+        writer = writer or pa.ipc.new_stream(pa.PythonFile(sink, "w"), batch.schema)
+        writer.write_batch(batch)
+        yield b"".join(sink.pieces)
+        sink.pieces.clear()
+    writer.close()
+    yield b"".join(sink.pieces)
+
+
+def arrow_ipc(df: DataFrame, stream: bool = True) -> bytes:
+    """The rows as one Arrow IPC stream or file. Nested and binary columns are refused."""
+    import pyarrow as pa
+
+    _flat(df)
     table, out = df.toArrow(), pa.BufferOutputStream()
     with (pa.ipc.new_stream if stream else pa.ipc.new_file)(out, table.schema) as w:
         w.write_table(table)
@@ -125,6 +178,47 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode("overwrite" if mode == "overwrite" else "errorifexists").parquet(path)
 
 
+def check_written(df: DataFrame) -> None:
+    """Refuses what a written file could not hold plainly: no rows, columns without a value, non-finite numbers, nested values."""
+    bad, kinds = [], []
+    for f in df.schema.fields:
+        c = F.col(quoted(f.name))
+        if isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType, T.NullType)):
+            raise EngineError("VALIDATION_ERROR", f"{f.name} holds no scalars", column=f.name)
+        kinds.append((f.name, "has no value"))
+        bad.append(F.count(c) == 0)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            kinds.append((f.name, "holds a number that is not finite"))
+            bad.append(F.count_if(F.isnan(c) | (F.abs(c) == float("inf"))) > 0)
+    n, *found = df.agg(F.count(F.lit(1)), *[c.alias(f"b{i}") for i, c in enumerate(bad)]).first()
+    if not n:
+        raise EngineError("VALIDATION_ERROR", "there are no rows to write")
+    for (name, what), wrong in zip(kinds, found, strict=True):
+        if wrong:
+            raise EngineError("VALIDATION_ERROR", f"{name} {what}", column=name)
+
+
+def _place(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, of whatever store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(place), fs
+
+
+def _plain(path: str) -> str:
+    """Local files without their scheme."""
+    return re.sub(r"^file:/+", "/", path)
+
+
+def _hashed(spark: SparkSession, folder: str) -> dict[str, tuple[int, int, str]]:
+    """(rows, bytes, sha256) of each Parquet file below folder, found out by the tasks that read them."""
+    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    hashes = {r["path"]: (r["length"], r["hash"]) for r in every.select("path", "length", F.sha2("content", 256).alias("hash")).collect()}
+    counted = spark.read.option("recursiveFileLookup", "true").parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).count().collect()
+    rows = {_plain(unquote(r["path"])): r["count"] for r in counted}
+    return {_plain(p): (rows.get(_plain(p), 0), size, f"sha256:{h}") for p, (size, h) in hashes.items()}
+
+
 def write_partitioned(
     df: DataFrame,
     prefix: str,
@@ -138,51 +232,51 @@ def write_partitioned(
 ) -> list[dict]:
     """Files with predictable names below prefix, and an entry (path, rows, bytes, sha256, partition) of each.
 
-    Spark writes them in parallel to a folder beside the target; they are then
-    moved to their names, which only a shared file system that the driver reaches
-    can do. Rows of one partition value go to as many tasks as it has data for.
+    Spark writes them in parallel to a folder beside the target, on the same store, and
+    hashes and counts them in parallel; the driver renames each file, of which it needs
+    the name alone. A partition value is dealt to as many tasks as its size asks for.
     """
-    keys = list(partition_by or [])
+    spark, keys = df.sparkSession, list(partition_by or [])
     if len(set(keys)) < len(keys):
         raise EngineError("VALIDATION_ERROR", "a partition column repeats")
     if missing := [k for k in keys if k not in df.columns]:
         raise EngineError("UNKNOWN_COLUMN", f"no column {missing[0]}", column=missing[0])
     if validation:
         validation.check(df)
-    if df.isEmpty():
-        raise EngineError("VALIDATION_ERROR", "there are no rows to write")
-    root = re.sub(r"^file:/+", "/", prefix.rstrip("/"))
+    check_written(df)
+    root, fs = _place(spark, prefix.rstrip("/"))
     rows = max_rows_per_file
     if max_bytes_per_file:
         width = max(1, sum(_width(f.dataType) for f in df.schema.fields))
         rows = min(rows or 1 << 31, max(1, max_bytes_per_file // width))
-    staging = f"{os.path.dirname(root)}/_staging-{uuid.uuid4().hex}"
+    staging = f"{root.getParent().toString().rstrip('/')}/_staging-{uuid.uuid4().hex}"
     # Partition directories take the encoded text of a column's value.
-    marked = df.withColumns({f"__p{i}": F.coalesce(F.url_encode(F.col(quoted(k)).cast("string")), F.lit("__null__")) for i, k in enumerate(keys)}).drop(*keys) if keys else df
-    writer = (marked.repartition(*[f"__p{i}" for i in range(len(keys))], F.pmod(F.monotonically_increasing_id(), F.lit(4))) if keys else marked).write
+    folders = [f"__p{i}" for i in range(len(keys))]
+    marked = df.withColumns({p: F.coalesce(F.url_encode(F.col(quoted(k)).cast("string")), F.lit("__null__")) for p, k in zip(folders, keys, strict=True)}).drop(*keys) if keys else df
+    # Adaptive execution splits what it rebalances by size, a frequent value too.
+    writer = (marked.hint("rebalance", *folders) if keys else marked).write
     writer = writer.option("maxRecordsPerFile", rows) if rows else writer
-    (writer.partitionBy(*[f"__p{i}" for i in range(len(keys))]) if keys else writer).parquet(f"file://{staging}")
     out, counts = [], {}
     tag = "-".join(x for x in (job_id, task_id, idempotency_key) if x)
     try:
-        import pyarrow.parquet as pq
-
-        for folder, _, names in sorted(os.walk(staging)):
-            for name in sorted(n for n in names if n.endswith(".parquet")):
-                source = f"{folder}/{name}"
-                values = [s.partition("=")[2] for s in os.path.relpath(folder, staging).split("/") if "=" in s]
-                decoded = [unquote_plus(unquote(v)) for v in values]
-                place = "/".join(f"{k}={quote(v, safe='')}" for k, v in zip(keys, decoded, strict=True))
-                n = counts[place] = counts.get(place, -1) + 1
-                target = "/".join(x for x in (root, place, f"part-{tag}-{n:05d}.parquet") if x)
-                meta = pq.ParquetFile(source).metadata
-                if not meta.num_rows:
-                    continue
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                os.replace(source, target)
-                out.append({"path": target, "rows": meta.num_rows, "bytes": os.path.getsize(target), "sha256": file_hash(target), "partition": dict(zip(keys, decoded, strict=True))})
+        (writer.partitionBy(*folders) if keys else writer).parquet(staging)
+        for source, (n_rows, size, found_hash) in sorted(_hashed(spark, staging).items()):
+            if not n_rows:
+                continue
+            below = source[len(_plain(staging)) :].strip("/").split("/")[:-1]
+            decoded = [unquote_plus(unquote(x.partition("=")[2])) for x in below]
+            place = "/".join(f"{k}={quote(v, safe='')}" for k, v in zip(keys, decoded, strict=True))
+            n = counts[place] = counts.get(place, -1) + 1
+            target = "/".join(x for x in (root.toString(), place, f"part-{tag}-{n:05d}.parquet") if x)
+            old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+            fs.mkdirs(new.getParent())
+            if fs.exists(new):
+                fs.delete(new, False)
+            if not fs.rename(old, new):
+                raise EngineError("PARQUET_WRITE_ERROR", f"{target} could not be put in place", path=target)
+            out.append({"path": _plain(target), "rows": n_rows, "bytes": size, "sha256": found_hash, "partition": dict(zip(keys, decoded, strict=True))})
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staging), True)
     return sorted(out, key=lambda e: e["path"])
 
 
@@ -190,14 +284,6 @@ def _width(t: T.DataType) -> int:
     return {T.BooleanType: 1, T.IntegerType: 4, T.FloatType: 4}.get(type(t), 24 if isinstance(t, (T.StringType, T.BinaryType)) else 8)
 
 
-def file_hash(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while data := f.read(1 << 20):
-            h.update(data)
-    return "sha256:" + h.hexdigest()
-
-
 def write_task(store: tasks.CheckpointStore, df: DataFrame, prefix: str, task_id: str, key: str, **more) -> list[dict]:
     """A partitioned write that is done once: a repeated call returns what was recorded."""
     done = store.get(task_id)
@@ -226,14 +312,19 @@ def compact(spark, source: str, target: str, max_rows_per_file: int = 1_000_000)
 
 
 def read_manifest(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def write_manifest(manifest: dict, path: str) -> None:
     """In one step, so that a reader sees the old manifest or the new one."""
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, sort_keys=True)
-    os.replace(part, path)
-
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    place, fs = _place(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{place.getParent().toString().rstrip('/')}/_{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    out.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    if not fs.rename(part, place):
+        raise EngineError("PARQUET_WRITE_ERROR", f"{path} could not be put in place", path=path)

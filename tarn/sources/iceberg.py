@@ -7,6 +7,7 @@ its own; with respect_sequence_numbers, only to older ones, as the format says.
 
 from __future__ import annotations
 
+import functools
 import json
 import posixpath
 import re
@@ -21,6 +22,7 @@ from tarn.errors import EngineError
 from tarn.expr import Expr
 from tarn.plans.compile import quoted
 from tarn.plans.explain import may_match
+from tarn.plans.spec import fingerprint
 from tarn.sources import avro
 
 CONTENT = {0: "data", 1: "position-deletes", 2: "equality-deletes"}
@@ -239,10 +241,6 @@ class IcebergTable:
             deletes = []
         return Plan(sorted(files, key=lambda f: (f.sequence, f.path)), deletes, snapshot, skipped)
 
-    def applies(self, d: DataFile, f: DataFile, by_sequence: bool) -> bool:
-        older = f.sequence < d.sequence if d.content == "equality-deletes" else f.sequence <= d.sequence
-        return d.partition == f.partition and (older or not by_sequence)
-
     def read(self, where: Expr | None = None, columns: list[str] | None = None, mode: str = "strict", respect_sequence_numbers: bool = False, apply_where: bool = True, **which) -> DataFrame:
         """The rows of a snapshot under its schema; which: snapshot_id, ref or as_of_ms."""
         found = self.plan(where, mode, **which)
@@ -252,15 +250,20 @@ class IcebergTable:
             return self.spark.createDataFrame([], empty).select(*[quoted(c) for c in columns or [f["name"] for f in fields]])
         df = self.spark.read.option("mergeSchema", "true").parquet(*[f.path for f in found.files])
         df = df.withColumns({"__path": F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"), "__row": F.col("_metadata.row_index")})
+        own, held = set(df.columns), {n for g in found.files for n in g.partition}
+        lone = [f for f in fields if not own.intersection(self.names_of(f)) and held.intersection(self.names_of(f))]
+        if lone or found.deletes:  # a row for each file: its partition and its place in the order of changes
+            values = lambda g: {k: None if v is None else str(v) for k, v in g.partition.items()}
+            listed = [(self.local(g.path), fingerprint(g.partition), g.sequence, values(g)) for g in found.files]
+            table = self.spark.createDataFrame(listed, "__path string, __part string, __seq long, __values map<string,string>")
+            df = df.join(table, "__path")
         df = self.without_deleted(df, found, respect_sequence_numbers)
         out = []
         for f in fields:
-            there = [F.col(quoted(n)) for n in self.names_of(f) if n in df.columns]
-            held = {g.path: g.partition[n] for g in found.files for n in self.names_of(f) if n in g.partition}
+            there = [F.col(quoted(n)) for n in self.names_of(f) if n in own]
             kind = TYPES.get(f["type"])
-            if not there and held:  # only in the files' partitions
-                values = F.create_map(*[F.lit(x) for p, v in held.items() if v is not None for x in (self.local(p), v)]) if any(v is not None for v in held.values()) else None
-                there = [values[F.col("__path")]] if values is not None else []
+            if f in lone:
+                there = [F.col("__values")[n] for n in self.names_of(f) if n in held]
             c = F.coalesce(*there) if there else F.lit(None)
             out.append((c.cast(kind) if kind else c).alias(f["name"]))
         df = df.select(*out)
@@ -275,30 +278,30 @@ class IcebergTable:
         return re.sub(r"^file:/+", "/", path)
 
     def without_deleted(self, df: DataFrame, found: Plan, by_sequence: bool) -> DataFrame:
-        every = {f.path for f in found.files}
+        """One anti join for position deletes and one for each set of columns that is deleted by, however many files there are."""
+        by_id = {f["id"]: f for s in self.metadata.get("schemas") or [] for f in s["fields"]}
         groups: dict[tuple, list[DataFile]] = {}
         for d in found.deletes:
-            to = frozenset(f.path for f in found.files if self.applies(d, f, by_sequence))
-            if to:
-                groups.setdefault((d.content, d.equality_ids, to), []).append(d)
-        for (content, ids, to), files in groups.items():
+            groups.setdefault((d.content, d.equality_ids), []).append(d)
+        for (content, ids), files in groups.items():
+            listed = self.spark.createDataFrame([(self.local(d.path), fingerprint(d.partition), d.sequence) for d in files], "__from string, __dpart string, __dseq long")
             gone = self.spark.read.parquet(*[d.path for d in files])
-            limited = F.lit(True) if to == every else F.col("__path").isin(*map(self.local, to))
-            if content == "position-deletes":
-                place = self.resolved(F.col("file_path"))
-                gone = gone.select(place.alias("__dpath"), F.col("pos").alias("__dpos"))
-                df = df.join(gone, limited & (F.col("__path") == F.col("__dpath")) & (F.col("__row") == F.col("__dpos")), "left_anti")
-                continue
-            by_id = {f["id"]: f for s in self.metadata.get("schemas") or [] for f in s["fields"]}
             names = [by_id[i]["name"] for i in ids if i in by_id] or [c for c in gone.columns if not c.startswith("_")]
-            gone = gone.select(*[F.col(quoted(n)).alias(f"__d{i}") for i, n in enumerate(names)])
-            same = limited
-            for i, n in enumerate(names):
-                own = next((c for g in by_id.values() if g["name"] == n for c in self.names_of(g) if c in df.columns), n)
-                if own not in df.columns:
-                    raise EngineError("UNKNOWN_COLUMN", f"no column {n} to delete by", column=n)
-                same = same & F.col(quoted(own)).eqNullSafe(F.col(f"__d{i}"))
-            df = df.join(gone, same, "left_anti")
+            gone = gone.withColumn("__from", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")).join(listed, "__from")
+            limits = [F.col("__part") == F.col("__dpart")]
+            if content == "position-deletes":
+                gone = gone.select(self.resolved(F.col("file_path")).alias("__dpath"), F.col("pos").alias("__dpos"), "__dpart", "__dseq")
+                limits += [F.col("__path") == F.col("__dpath"), F.col("__row") == F.col("__dpos")]
+            else:
+                gone = gone.select(*[F.col(quoted(n)).alias(f"__d{i}") for i, n in enumerate(names)], "__dpart", "__dseq")
+                for i, n in enumerate(names):
+                    own = next((c for g in by_id.values() if g["name"] == n for c in self.names_of(g) if c in df.columns), n)
+                    if own not in df.columns:
+                        raise EngineError("UNKNOWN_COLUMN", f"no column {n} to delete by", column=n)
+                    limits.append(F.col(quoted(own)).eqNullSafe(F.col(f"__d{i}")))
+            if by_sequence:
+                limits.append(F.col("__seq") < F.col("__dseq") if content == "equality-deletes" else F.col("__seq") <= F.col("__dseq"))
+            df = df.join(gone, functools.reduce(lambda p, q: p & q, limits), "left_anti")
         return df
 
     def resolved(self, path):

@@ -80,12 +80,16 @@ def has_header(rows: list[list[str]]) -> bool:
     return names and any(_kind(c) != "string" for r in rows[1:] for c in r if c)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | str = "auto", null: str = "", multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | str = "auto", null: str = "", multi_line: bool | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Typed columns: boolean or number if every value of all rows is one, else string.
 
-    A ragged row or an open quote raises when rows are read. multi_line=False lets
-    Spark split large files whose values hold no line ends.
+    A ragged row or an open quote raises when rows are read. Large files are split among
+    tasks unless their values hold line ends (multi_line), which is found out if not said.
     """
+    check_bytes(spark, path, max_bytes)
+    if multi_line is None:  # a line that opens a quote and does not close it
+        line = F.col("value")
+        multi_line = not spark.read.text(path).where((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
     head = _first_records(spark, path)
     delimiter = delimiter or detect_delimiter(head)
     rows = split_line(head, delimiter)
@@ -99,7 +103,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     reader = spark.read.schema(raw).option("sep", delimiter).option("quote", '"').option("escape", '"').option("header", first).option("mode", "FAILFAST").option("multiLine", multi_line).option("nullValue", null).option("emptyValue", null or "").option("enforceSchema", True)
     df = reader.csv(path)
     quoted = ["`" + n.replace("`", "``") + "`" for n in names]
-    tests = []
+    tests = [F.count(F.lit(1)).alias("rows")]
     for i, q in enumerate(quoted):
         c = F.col(q)
         there = c.isNotNull()
@@ -108,6 +112,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
         found = df.agg(*tests).first()
     except Exception as e:
         raise EngineError("VALIDATION_ERROR", "a row is ragged or a quote stays open") from e
+    check_rows(found["rows"], max_rows)
     cols = []
     for i, (n, q) in enumerate(zip(names, quoted, strict=True)):
         kind = "string" if not found[f"n{i}"] else "boolean" if found[f"b{i}"] == found[f"n{i}"] else "double" if found[f"d{i}"] == found[f"n{i}"] else "string"
@@ -115,8 +120,21 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     return df.select(*cols)
 
 
-def read_json(spark: SparkSession, path: str, format: str = "auto") -> DataFrame:
+def check_bytes(spark: SparkSession, path: str, most: int | None) -> None:
+    from tarn.sources.files import list_files
+
+    if most is not None and (size := sum(f.size for f in list_files(spark, path))) > most:
+        raise EngineError("BUDGET_EXCEEDED", f"max_bytes: {size} is more than {most}", limit=most, found=size)
+
+
+def check_rows(found: int, most: int | None) -> None:
+    if most is not None and found > most:
+        raise EngineError("BUDGET_EXCEEDED", f"max_rows: {found} is more than {most}", limit=most, found=found)
+
+
+def read_json(spark: SparkSession, path: str, format: str = "auto", max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Objects of a JSON array, one object, or a line each. auto tells by the first character."""
+    check_bytes(spark, path, max_bytes)
     head = _first_records(spark, path, 1 << 16).lstrip()
     if format not in ("auto", "json", "ndjson"):
         raise EngineError("VALIDATION_ERROR", f"no format {format}")
@@ -130,9 +148,14 @@ def read_json(spark: SparkSession, path: str, format: str = "auto") -> DataFrame
             code = "VALIDATION_ERROR" if _is_json(wrong[0].value) else "PARSE_ERROR"
             raise EngineError(code, "a line is no object")
     try:
-        return spark.read.option("mode", "FAILFAST").option("multiLine", whole).json(path)
+        df = spark.read.option("mode", "FAILFAST").option("multiLine", whole).json(path)
+        if max_rows is not None:
+            check_rows(df.limit(max_rows + 1).count(), max_rows)
+    except EngineError:
+        raise
     except Exception as e:
         raise EngineError("PARSE_ERROR", "the file is no valid JSON") from e
+    return df
 
 
 def _is_json(text: str) -> bool:

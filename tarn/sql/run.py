@@ -49,7 +49,17 @@ def execute(lake, text: str, parameters: tuple = (), tables: dict[str, str] | No
     found = parse(text, tuple(parameters))
     if isinstance(found, Describe):
         return describe(lake, found.table, tables or {})
-    return Runner(lake, tables or {}, join_rows).select(found)
+    runner = Runner(lake, tables or {}, join_rows)
+    try:
+        out = runner.select(found)
+    except EngineError as e:
+        name = str(e.details.get("column") or "").rpartition(".")[2]
+        if e.code == "TARN_UNKNOWN_COLUMN" and name in runner.hidden:
+            raise EngineError("VALIDATION_ERROR", f"columns are not allowed: ['{name}']", columns=[name]) from None
+        raise
+    if lake.policy and lake.policy.max_limit is not None:
+        out = out.limit(lake.policy.max_limit)
+    return lake.finished(out)
 
 
 def describe(lake, table: str, tables: dict[str, str]) -> DataFrame:
@@ -61,22 +71,17 @@ def describe(lake, table: str, tables: dict[str, str]) -> DataFrame:
 class Runner:
     def __init__(self, lake, tables: dict[str, str], join_rows: int | None):
         self.lake, self.tables, self.join_rows, self.ctes = lake, tables, join_rows, {}
+        self.hidden: set[str] = set()  # columns that the policy keeps back
 
     def scan(self, t: Table, where: x.Expr | None = None) -> DataFrame:
         if t.name in self.ctes:
             return self.ctes[t.name]
-        if t.name in self.lake.tables:
-            return self.lake.tables[t.name]
-        if t.name not in self.tables:
+        if t.name not in self.lake.tables and t.name not in self.tables:
             raise EngineError("UNKNOWN_TABLE", f"no table {t.name}", table=t.name)
-        spec = QuerySpec(self.tables[t.name], where=where)
-        spec = self.lake.policy.apply(spec) if self.lake.policy else spec
-        df = self.lake.source(spec)
-        if self.lake.policy:
-            rule = self.lake.policy.apply(QuerySpec(spec.source))
-            df = df.where(Compiler(df.schema).boolean(rule.where)) if rule.where is not None else df
-            allowed = self.lake.policy.allowed_columns
-            df = df if allowed is None else df.select(*[quoted(c) for c in sorted(set(allowed))])
+        spec = QuerySpec(t.name if t.name in self.lake.tables else self.tables[t.name], where=where)
+        df = self.lake.relation(spec)
+        if self.lake.policy and self.lake.policy.allowed_columns is not None:
+            self.hidden |= set(self.lake.source(spec, check=False).columns) - set(df.columns)
         return df
 
     def select(self, s: Select) -> DataFrame:
