@@ -238,7 +238,7 @@ class Runner:
 def spec_of(text: str, parameters: tuple = ()) -> QuerySpec:
     """A plain single-table SELECT as a query description."""
     s = parse(text, tuple(parameters))
-    if not isinstance(s, Select) or s.join or s.cte or s.group_by or s.having is not None:
+    if not isinstance(s, Select) or s.join or s.cte or s.group_by or s.having is not None or any(isinstance(e, AggCall) for i, _ in s.items for e in walk(i)):
         raise unsupported("only a plain SELECT of one table has a description")
     star = any(isinstance(e, Star) for e, _ in s.items)
     return QuerySpec(s.table.name, select=("*",) if star else None, project=tuple((a or e.name, e) for e, a in s.items if not isinstance(e, Star)), where=s.where, distinct=s.distinct, order_by=tuple(Order(o.column, o.descending, o.nulls_first) for o in s.order_by), offset=s.offset, limit=s.limit)
