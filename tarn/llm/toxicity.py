@@ -43,6 +43,8 @@ SAMPLE = 20_000
 #: Lexicon entries that are mined at most; the toxic documents that must hold one, the share of those, and the precision at least.
 MINED, LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION = 256, 5, 0.005, 0.9
 STARTS = (4, 5, 6, 7, 8)
+#: Words that a worker remembers, if one text holds no more.
+KNOWN_WORDS = 300_000
 FOLDS = 5
 
 # The seed lexicon, plain insults.
@@ -74,6 +76,10 @@ class Lexicon:
         kinds = {k: 2 + i for i, k in enumerate(STARTS)}
         #: The voter that an entry counts for.
         self.kind = np.array([0 if i < seeds else kinds[len(e) - 1] if e.endswith("-") else 1 for i, e in enumerate(entries)], dtype=np.int64)
+        #: Entries by their words and by their beginnings, and the first letters of all.
+        self.words = {e: i for e, i in self.number.items() if not e.endswith("-")}
+        self.begins = {e[:-1]: i for e, i in self.number.items() if e.endswith("-")}
+        self.heads = {e[: STARTS[0]] for e in (*self.words, *self.begins)}
         #: Of each word that was met: its entries and patterns, or None for a plain one.
         self.known: dict[str, tuple[tuple[int, ...], tuple[bool, ...]] | None] = {}
 
@@ -85,19 +91,28 @@ class Lexicon:
     def of(self, word: str) -> tuple[tuple[int, ...], tuple[bool, ...]] | None:
         """A word's entries, and which of the patterns it shows: masked, inside a word, shouting, exclamations, stretched."""
         w = word.lower().strip(EDGES)
-        found = tuple(i for e in forms(w) if (i := self.number.get(e)) is not None)
-        patterns = (bool(MASKED.match(word)), bool(INSIDE.search(word)), word.isupper(), "!!" in word or "!?" in word, bool(STRETCHED.search(word)))
+        found: tuple[int, ...] = ()
+        if w[: STARTS[0]] in self.heads:
+            begins = [self.begins.get(w[:k]) for k in STARTS if len(w) > k]
+            found = tuple(i for i in (self.words.get(w), *begins) if i is not None)
+        stretched = bool(STRETCHED.search(word))
+        if word.isalpha():
+            patterns = (False, False, word.isupper(), False, stretched)
+        else:
+            patterns = (bool(MASKED.match(word)), bool(INSIDE.search(word)), word.isupper(), "!!" in word or "!?" in word, stretched)
         return (found, patterns) if found or any(patterns) else None
 
     def evidence(self, text: str | None) -> np.ndarray:
         """Words that hold an entry, lines that do (2 at most), all words (0 without a hit), address, the patterns; then the entries found."""
         text = text or ""
         words, known = text.split(), self.known
-        for w in set(words).difference(known):
-            if len(known) > 200_000:
+        if new := set(words).difference(known):
+            if len(known) + len(new) > KNOWN_WORDS:
                 known.clear()
-            known[w] = self.of(w)
-        odd = [(i, k) for i, w in enumerate(words) if (k := known[w] if w in known else known.setdefault(w, self.of(w)))]
+                new = set(words)
+            for w in new:
+                known[w] = self.of(w)
+        odd = [(i, k) for i, k in enumerate(map(known.__getitem__, words)) if k]
         hits = [i for i, (found, _) in odd if found]
         found = sorted({e for _, (own, _) in odd for e in own})
         lines = address = 0
