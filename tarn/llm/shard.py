@@ -118,7 +118,7 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def shard_rows(df: DataFrame, shards: int = 24, seed: int = 42, bin_rows: int = 100_000, work: Workspace | None = None) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int = 24, seed: int = 42, bin_rows: int = 20_000, work: Workspace | None = None) -> DataFrame:
     """df with law, shard (0 to shards - 1) and slot (gapless from 0 in each shard), placed uniformly at random."""
     spark = df.sparkSession
     work = work or Workspace(spark, "shard")
