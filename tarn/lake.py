@@ -23,17 +23,20 @@ from tarn.plans.compile import Compiler, quoted
 from tarn.plans.spec import Aggregate, Budget, Order, Policy, QuerySpec
 from tarn.runtime import Runtime
 from tarn.sources import files as file_sources
+from tarn.sources.http import HttpStore, is_http
 
 
 class Lake:
     """Sources by path or name, under one budget and policy.
 
-    tables: DataFrames by name; a query's source may be such a name.
+    tables: DataFrames by name; a query's source may be such a name. listing_ms: how long the
+    files found for a path or pattern are taken to be all; 0 lists anew each time.
     """
 
-    def __init__(self, spark: SparkSession, budget: Budget | None = None, policy: Policy | None = None, tables: dict[str, DataFrame] | None = None, strict_types: bool = True, runtime: Runtime | None = None):
+    def __init__(self, spark: SparkSession, budget: Budget | None = None, policy: Policy | None = None, tables: dict[str, DataFrame] | None = None, strict_types: bool = True, runtime: Runtime | None = None, listing_ms: float = 0):
         self.spark, self.budget, self.policy, self.runtime = spark, budget or Budget(), policy, runtime or Runtime()
         self.tables, self.strict_types, self.sidecars = dict(tables or {}), strict_types, {}
+        self.listing_ms, self.listings, self.http = listing_ms, {}, HttpStore(max_bytes=self.budget.max_bytes)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def path(self, source: str) -> Query:
@@ -64,9 +67,19 @@ class Lake:
         """Prunes files of a source by an index of their bounds."""
         self.sidecars[source] = index
 
+    def listed(self, source: str) -> list:
+        """The files of a path or pattern."""
+        at, found = self.listings.get(source, (0, None))
+        now = self.runtime.now()
+        if found is None or now - at >= self.listing_ms:
+            found = file_sources.list_files(self.spark, self.http.fetch(self.spark, source) if is_http(source) else source)
+            if self.listing_ms:
+                self.listings[source] = now, found
+        return found
+
     def files(self, spec: QuerySpec) -> tuple[list, list]:
         """(kept, skipped) files of a source."""
-        found = file_sources.list_files(self.spark, spec.source)
+        found = self.listed(spec.source)
         kept, skipped = file_sources.prune_hive(found, spec.where) if spec.hive else (found, [])
         if index := self.sidecars.get(spec.source):
             live = index.prune([f.path for f in kept], spec.where)
@@ -316,19 +329,19 @@ class Query:
             raise type_error(f"{name} needs a limit")
         if spec.distinct:
             raise type_error(f"{name} does not take distinct queries")
-        return spec
+        return spec.with_(where=self.spec.where)  # the policy's own condition is relation()'s
 
     def top_k_with_state(self, state: dict | None = None, folder: str | None = None) -> tuple[DataFrame, dict]:
         """The first rows of this query and of those behind the state, and the state to go on from."""
         spec = self._stateful("top_k_with_state", True)
-        df = self.lake.source(spec)
+        df = self.lake.relation(spec)
         self.lake.buffered(df, spec)
         return op_state.ordered(self.lake.spark, df, spec, "top-k", state, folder)
 
     def sort_with_state(self, state: dict | None = None, folder: str | None = None) -> tuple[DataFrame, dict]:
         """All rows of this query and of those behind the state in order, and the state to go on from."""
         spec = self._stateful("sort_with_state", False)
-        df = self.lake.source(spec)
+        df = self.lake.relation(spec)
         self.lake.buffered(df, spec.with_(limit=None, offset=0))
         return op_state.ordered(self.lake.spark, df, spec, "sort", state, folder)
 

@@ -56,10 +56,13 @@ def _marked(df: DataFrame, unit: int) -> DataFrame:
 
 def ordered(spark: SparkSession, df: DataFrame, spec: QuerySpec, kind: str, state: dict | None, folder: str | None) -> tuple[DataFrame, dict]:
     """Rows of df and of those behind the state, in spec's order; kind: top-k or sort."""
-    own = fingerprint([kind, [[o.column, o.descending, o.nulls] for o in spec.order_by], spec.offset, spec.limit])
+    own = fingerprint([kind, [[o.column, o.descending, o.nulls] for o in spec.order_by], spec.offset, spec.limit, spec.to_json()["select"], spec.to_json()["project"]])
     tables, unit = _check(state, kind, own), state["units"] if state else 0
     folder = folder or scratch(spark, "state")
     rows = _marked(df if spec.where is None else df.where(Compiler(df.schema).boolean(spec.where)), unit)
+    if spec.select != ("*",) and (spec.select or spec.project):  # nothing is kept that is not asked for
+        needed = spec.with_(where=None).columns()
+        rows = rows.select(*[quoted(c) for c in rows.columns if c in needed or c == agg.ORDINAL])
     if kind == "sort":
         _, made = _kept(rows, folder, f"run-{unit:06d}")
         tables = [*tables, made]

@@ -96,14 +96,15 @@ def plain(v) -> str | None:
 
 
 class IcebergTable:
-    def __init__(self, spark: SparkSession, metadata_path: str):
+    def __init__(self, spark: SparkSession, metadata_path: str, metadata: dict | None = None):
+        """metadata: what a catalog says the file holds; the table then lies where it says."""
         self.spark, self.store, self.metadata_path = spark, Store(spark), metadata_path
         try:
-            self.metadata = json.loads(self.store.read(metadata_path))
+            self.metadata = json.loads(self.store.read(metadata_path)) if metadata is None else metadata
         except ValueError:
             raise EngineError("CATALOG_ERROR", "the metadata is no JSON") from None
-        self.root = posixpath.dirname(posixpath.dirname(metadata_path))
         self.validate()
+        self.root = posixpath.dirname(posixpath.dirname(metadata_path)) if metadata is None else self.local(self.metadata["location"].rstrip("/"))
         self._manifests: dict[str, list[DataFile]] = {}
 
     def validate(self) -> None:
@@ -312,18 +313,17 @@ class IcebergTable:
 
     # Appending.
 
-    def append(self, files: list[dict], now_ms: int | None = None) -> IcebergTable:
-        """A new snapshot with more data files: entries of path, rows, bytes and partition."""
+    def next_snapshot(self, files: list[dict], now_ms: int | None = None) -> dict:
+        """The snapshot that has these data files too (entries of path, rows, bytes and partition); its manifest is written."""
         for f in files:
             if not {"path", "rows", "bytes"} <= set(f):
                 raise EngineError("VALIDATION_ERROR", "an entry needs path, rows and bytes")
-        m = json.loads(json.dumps(self.metadata))
-        old = self.snapshot()
+        m, old = self.metadata, self.snapshot()
         number = m.get("last-sequence-number", 0) + 1
         ident = uuid.uuid4().int >> 65
         now = int(time.time() * 1000) if now_ms is None else now_ms
-        location = m["location"].rstrip("/")
-        name = lambda p: location + self.local(p).removeprefix(self.local(self.root)) if self.local(p).startswith(self.local(self.root) + "/") else p
+        location, root = m["location"].rstrip("/"), self.local(self.root)
+        name = lambda p: location + self.local(p).removeprefix(root) if self.local(p).startswith(root + "/") else p
         manifest = {"entries": [{"status": 1, "sequence_number": number, "data_file": {"content": 0, "file_path": name(f["path"]), "file_format": "parquet", "partition": f.get("partition") or {}, "record_count": f["rows"], "file_size_in_bytes": f["bytes"]}} for f in files]}
         for e in manifest["entries"]:
             self.resolve(e["data_file"]["file_path"])
@@ -335,11 +335,19 @@ class IcebergTable:
                 before = [{"path": x.get("manifest_path") or x["path"], "sequence-number": x.get("sequence_number", x.get("sequence-number", 0))} for x in self.load(old["manifest-list"], "manifests")]
             else:
                 before = list(old.get("manifests") or [])
-        snapshot = {"snapshot-id": ident, "timestamp-ms": now, "sequence-number": number, "schema-id": old["schema-id"] if old and "schema-id" in old else m.get("current-schema-id", 0), "summary": {"operation": "append"}, "manifests": [*before, {"path": f"{location}/{path}", "sequence-number": number}]}
+        summary = {"operation": "append", "added-data-files": str(len(files)), "added-records": str(sum(f["rows"] for f in files))}
+        schema_id = old["schema-id"] if old and "schema-id" in old else m.get("current-schema-id", 0)
+        snapshot = {"snapshot-id": ident, "timestamp-ms": now, "sequence-number": number, "schema-id": schema_id, "summary": summary, "manifests": [*before, {"path": f"{location}/{path}", "sequence-number": number}]}
         if old is not None:
             snapshot["parent-snapshot-id"] = old["snapshot-id"]
+        return snapshot
+
+    def append(self, files: list[dict], now_ms: int | None = None) -> IcebergTable:
+        """The table with one more snapshot, committed by a metadata file that only one writer can create."""
+        snapshot = self.next_snapshot(files, now_ms)
+        ident, m = snapshot["snapshot-id"], json.loads(json.dumps(self.metadata))
         m["snapshots"] = [*(m.get("snapshots") or []), snapshot]
-        m |= {"current-snapshot-id": ident, "last-sequence-number": number, "last-updated-ms": now}
+        m |= {"current-snapshot-id": ident, "last-sequence-number": snapshot["sequence-number"], "last-updated-ms": snapshot["timestamp-ms"]}
         m.setdefault("refs", {})["main"] = {"type": "branch", "snapshot-id": ident}
         found = re.search(r"v(\d+)", posixpath.basename(self.metadata_path))
         version = int(found[1]) + 1 if found else 1
@@ -368,8 +376,12 @@ def load_location(spark: SparkSession, location: str) -> IcebergTable:
 
 
 def load_catalog(kind: str, **settings):
-    """Catalog services are not reachable from here."""
-    raise EngineError("CATALOG_ERROR", f"catalog {kind} is not supported: give a location or a metadata file")
+    """A REST catalog by uri and namespace; others are not supported."""
+    if kind == "rest":
+        from tarn.sources.rest import RestCatalog
+
+        return RestCatalog(**settings)
+    raise EngineError("CATALOG_ERROR", f"catalog {kind} is not supported: use REST, a location or a metadata file")
 
 
 def load_table(spark: SparkSession, path: str, format: str = "parquet", **read) -> DataFrame:

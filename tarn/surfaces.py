@@ -227,6 +227,25 @@ def _(lake, p):
     return memory.from_arrow(lake.spark, pa.ipc.open_file(sinks.arrow_ipc(_nations(lake, p).frame(), stream=False)).read_all())
 
 
+@query("http_source", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+def _(lake, p):
+    """A file by HTTP, from a server on this machine."""
+    import functools
+    import http.server
+    import threading
+
+    root = scratch(lake.spark, "served")
+    lake.spark.read.parquet(p["supplier"]).coalesce(1).write.parquet(root)
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=root)
+    handler.log_message = handler.func.log_message = lambda *a: None
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        name = files.list_files(lake.spark, root)[0].path.rpartition("/")[2]
+        out = lake.path(f"http://127.0.0.1:{server.server_port}/{name}").where(x.gt(x.col("s_acctbal"), 0)).select("s_suppkey", "s_name").frame()
+        server.shutdown()
+    return out
+
+
 @query("first_and_count", "SELECT count(*) AS n, min(p_partkey) AS k FROM part WHERE p_size > 25")
 def _(lake, p):
     found = lake.path(p["part"]).where(x.gt(x.col("p_size"), 25)).order_by("p_partkey")
