@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.scratch import shared
+
 #: White space that parts words, as byte values: space and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tarn-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    """The folder all executors share, on the file system that Spark finds it on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
     # A path without a scheme is on Spark's default file system, which need not be the local one.
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
