@@ -150,11 +150,11 @@ class Lake:
         def watch() -> None:
             while not done.wait(0.02):
                 if stopped():
-                    self.spark.interruptTag(tag)
+                    self.spark.sparkContext.cancelJobsWithTag(tag)
 
         if budget.signal is not None and budget.signal.is_set():
             raise EngineError("ABORTED", "stopped by its signal")
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         watcher = threading.Thread(target=watch, daemon=True)
         watcher.start()
         try:
@@ -168,7 +168,7 @@ class Lake:
         finally:
             done.set()
             watcher.join()
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
 
 
 class Query:

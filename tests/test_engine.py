@@ -390,6 +390,258 @@ def test_windowed_stream(spark, tmp_path):
     assert code(stream.apply, source, QuerySpec("", limit=1)) == "SQL_UNSUPPORTED"
 
 
+class Catalog:
+    """A REST catalog of one table, spoken to over HTTP on this machine."""
+
+    def __init__(self, metadata):
+        import http.server
+        import threading
+
+        catalog = self
+        self.metadata, self.asked, self.conflict = metadata, [], False
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def answer(self, code, body):
+                self.send_response(code)
+                self.end_headers()
+                self.wfile.write(body if isinstance(body, bytes) else json.dumps(body).encode())
+
+            def do_GET(self):
+                catalog.asked.append((self.path, self.headers.get("Authorization")))
+                if self.path.startswith("/v1/config"):
+                    self.answer(200, {"defaults": {"prefix": "no"}, "overrides": {"prefix": "w/1"}})
+                elif self.path == "/v1/w/1/namespaces/a%1Fb/tables":
+                    self.answer(200, {"identifiers": [{"namespace": ["a", "b"], "name": "one"}], "next-page-token": "p2"})
+                elif self.path == "/v1/w/1/namespaces/a%1Fb/tables?pageToken=p2":
+                    self.answer(200, {"identifiers": [{"namespace": ["a", "b"], "name": "nations"}]})
+                elif self.path.endswith("/nations"):
+                    self.answer(200, {"metadata-location": "x/v1.metadata.json", "metadata": catalog.metadata, "config": {}})
+                elif self.path.endswith("/broken"):
+                    self.answer(200, b"<html>")
+                else:
+                    self.answer(404, {})
+
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                (need,) = body["requirements"]
+                if catalog.conflict or need["snapshot-id"] != catalog.metadata["current-snapshot-id"]:
+                    return self.answer(409, {})
+                new = body["updates"][0]["snapshot"]
+                catalog.metadata = catalog.metadata | {"snapshots": [*catalog.metadata["snapshots"], new], "current-snapshot-id": new["snapshot-id"]}
+                self.answer(200, {})
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.uri = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def test_rest_catalog(spark, sf):
+    from tarn.surfaces import make_table
+
+    root = make_table(spark, f"{sf}/nation.parquet")
+    moved = json.loads(json.dumps(iceberg.load_location(spark, root).metadata).replace('"wh/nations', f'"{root}')) | {"current-snapshot-id": 1}
+    for kind in ("one", "two", "deletes"):
+        text_ = json.dumps(sinks.read_manifest(f"{root}/metadata/{kind}.json")).replace('"wh/nations', f'"{root}')
+        sinks.write_manifest(json.loads(text_), f"{root}/metadata/{kind}.json")
+    server = Catalog(moved)
+    found = iceberg.load_catalog("rest", uri=server.uri, namespace=("a", "b"), warehouse="wh 1", token="t")
+    assert found.tables() == ["one", "nations"] and server.asked[0] == ("/v1/config?warehouse=wh+1", "Bearer t")
+    table = found.load(spark, "nations")
+    assert table.read().count() == 10
+    rows = spark.read.parquet(f"{sf}/nation.parquet").where("n_regionkey = 4").withColumn("region", F.col("n_regionkey"))
+    made = sinks.write_partitioned(rows, f"{root}/data", ["region"], job_id="rest")
+    assert found.append(spark, "nations", made).read(columns=["n_nationkey"]).count() == 15
+    server.conflict = True
+    assert code(found.append, spark, "nations", made) == "ICEBERG_COMMIT_CONFLICT"
+    assert code(found.load, spark, "broken") == code(found.load, spark, "missing") == "CATALOG_ERROR"
+    assert code(iceberg.load_catalog, "rest", uri=server.uri, namespace=()) == "VALIDATION_ERROR"
+    server.server.shutdown()
+    server.server.server_close()
+    assert code(found.load, spark, "nations") == "CATALOG_ERROR"
+
+
+def test_http_store(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    from tarn.sources.http import HttpStore
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+    (tmp_path / "a.txt").write_bytes(bytes(range(100)))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Quiet, directory=str(tmp_path))) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url, store = f"http://127.0.0.1:{server.server_port}/a.txt", HttpStore()
+        assert store.head(url)[0] == 100 and store.read(url, 10, 5) == bytes(range(10, 15)) and store.read(url, 95, 50) == bytes(range(95, 100))
+        path = store.fetch(spark, url)
+        with open(path, "rb") as f:
+            assert f.read() == bytes(range(100)) and store.fetch(spark, url) == path
+        (tmp_path / "a.txt").write_bytes(b"changed")
+        assert store.fetch(spark, url) != path
+        assert code(store.fetch, spark, url + "x") == "OBJECT_NOT_FOUND" and code(HttpStore(max_bytes=3).fetch, spark, url) == "BUDGET_EXCEEDED"
+        server.shutdown()
+    assert code(store.head, url) == "PARQUET_READ_ERROR"
+
+
+def test_budgets_in_time(spark, sf):
+    import threading
+    import time
+
+    slow = Lake(spark, Budget(max_elapsed_ms=300), tables={"t": spark.range(1 << 40).withColumn("x", F.sin(F.col("id").cast("double")))})
+    began = time.monotonic()
+    assert code(slow.table("t").where(x.gt(x.col("x"), 2)).collect) == "ABORTED" and time.monotonic() - began < 20
+    signal = threading.Event()
+    told = Lake(spark, Budget(signal=signal), tables=slow.tables)
+    threading.Timer(0.3, signal.set).start()
+    assert code(told.table("t").where(x.gt(x.col("x"), 2)).count) == "ABORTED"
+    assert code(told.table("t").limit(1).collect) == "ABORTED"  # it is still set
+    few = Lake(spark, Budget(max_concurrent_reads=1)).path(f"{sf}/orders.parquet").frame()
+    assert few.select("o_orderkey").repartition(2).count() == 1500
+
+
+def test_runtime_hooks(spark, sf):
+    from tarn.runtime import Metrics, Runtime
+
+    seen, marks, ticks = [], [], iter(range(0, 10**9, 5))
+    run = Runtime(now=lambda: next(ticks), new_id=lambda p: f"{p}1", metrics=Metrics(lambda *m: seen.append(m)), queue=marks.append)
+    lake = Lake(spark, Budget(max_output_rows=20), runtime=run)
+    found = lake.path(f"{sf}/region.parquet").order_by("r_regionkey")
+    found.collect()
+    assert found.last_stats["query_id"] == "q_1" and found.last_stats["rows_returned"] == 5 and run.metrics.times["query.collect"]
+    assert code(lake.path(f"{sf}/nation.parquet").collect) == "BUDGET_EXCEEDED" and run.metrics.counts["query.refused"] == 1 and seen[-1][2] == {"code": "TARN_BUDGET_EXCEEDED"}
+    _, mark = found.run_slice(2)
+    assert marks == [mark]
+    with run.lock("a"), run.lock("a"), run.lock("b"):
+        pass
+
+
+def test_listings_are_kept_as_long_as_asked(spark, tmp_path):
+    from tarn.runtime import Runtime
+
+    now, root = [0], str(tmp_path / "l")
+    spark.range(3).coalesce(1).write.parquet(root)
+    kept, fresh = Lake(spark, runtime=Runtime(now=lambda: now[0]), listing_ms=1000), Lake(spark)
+    assert kept.path(root).count() == fresh.path(root).count() == 3
+    spark.range(4).coalesce(1).write.mode("append").parquet(root)
+    assert kept.path(root).count() == 3 and fresh.path(root).count() == 7
+    now[0] = 1000
+    assert kept.path(root).count() == 7
+
+
+def test_footers_are_remembered(spark, sf, tmp_path):
+    from tarn.plans.explain import FOOTERS, Footers, row_groups
+
+    path = f"{sf}/orders.parquet"
+    row_groups(path, None)
+    hits, misses = FOOTERS.hits, FOOTERS.misses
+    assert row_groups(path, None)["rows"] == 1500 and (FOOTERS.hits, FOOTERS.misses) == (hits + 1, misses)
+    held = row_groups(path, None, {"o_orderkey"})["row_groups"]
+    assert all(g["chunks"] == 1 and 0 < g["chunk_bytes"] < g["bytes"] for g in held)
+    few = Footers(1)
+    for p in (path, f"{sf}/region.parquet", path):
+        few.of(spark, p)
+    assert few.misses == 3 and len(few.held) == 1
+    (tmp_path / "no.parquet").write_bytes(b"not a parquet file")
+    assert code(few.of, spark, str(tmp_path / "no.parquet")) == "PARQUET_READ_ERROR"
+
+
+def test_fan_in_is_bounded_and_ordered():
+    import threading
+    import time
+
+    lock, running, most, taken = threading.Lock(), [0], [0], [0]
+
+    def inputs():
+        for i in range(20):
+            taken[0] = i + 1
+            yield i
+
+    def run(i):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.02 if i % 3 else 0.005)
+        with lock:
+            running[0] -= 1
+        return i
+
+    seen = []
+
+    def reduce(state, i):
+        assert taken[0] <= i + 5  # none is taken that could not wait
+        seen.append(i)
+        return state + [i]
+
+    assert tasks.fan_in(inputs(), run, reduce, [], max_concurrent=3, max_buffered=5) == list(range(20)) and most[0] <= 3
+    assert code(tasks.fan_in, [], run, reduce, [], 0) == "VALIDATION_ERROR"
+    with pytest.raises(ZeroDivisionError):
+        tasks.fan_in(range(5), lambda i: 1 // (i - 2), lambda s, i: s, None)
+
+
+def test_ranks_with_null_groups_and_values(spark, monkeypatch):
+    from tarn.operators import aggregate
+
+    rows = [("a", 1.0, "p"), ("a", 3.0, "q"), ("a", None, "q"), (None, 5.0, None), (None, 5.0, "z"), ("b", None, None)] + [("c", float(i), f"s{i:03d}") for i in range(101)]
+    lake = Lake(spark, tables={"t": spark.createDataFrame(rows, "k string, v double, s string").repartition(3)})
+    spec = {"m": ("median", "v"), "q": Aggregate("quantile", "v", None, 0.25), "ms": ("median", "s")}
+    want = {"a": (2.0, 1.5, "q"), None: (5.0, 5.0, "z"), "b": (None, None, None), "c": (50.0, 25.0, "s050")}
+    for most in (aggregate.IN_MEMORY, 0):
+        monkeypatch.setattr(aggregate, "IN_MEMORY", most)
+        assert {r["k"]: (r["m"], r["q"], r["ms"]) for r in lake.table("t").group_by("k").aggregate(spec).collect()} == want
+    out, state = lake.table("t").group_by("k").aggregate_with_state(spec)
+    assert {r["k"]: (r["m"], r["q"], r["ms"]) for r in out.collect()} == want
+    # The same rows again: medians stay, counts double; an empty unit changes nothing.
+    more = spec | {"n": "count", "d": ("count_distinct", "v"), "sd": ("stddev", "v"), "f": ("first", "s"), "l": ("last", "s")}
+    state = None
+    for name in ("t", "t", "none"):
+        own = Lake(spark, tables={"t": lake.tables["t"], "none": lake.tables["t"].limit(0)})
+        out, state = own.table(name).group_by("k").aggregate_with_state(more, json.loads(json.dumps(state)))
+    got = {r["k"]: r for r in out.collect()}
+    assert {k: r["m"] for k, r in got.items()} == {k: v[0] for k, v in want.items()} and got["a"]["q"] == 1.0 and got["c"]["q"] == 25.0
+    assert got["c"]["n"] == 202 and got["c"]["d"] == 101 and got["b"]["d"] == 0 and got["b"]["sd"] is None and got[None]["sd"] == 0
+    assert abs(got["a"]["sd"] - (4 / 3) ** 0.5) < 1e-12
+    assert code(own.table("t").group_by("k").aggregate_with_state, spec, state) == "BOOKMARK_INVALID"
+    empty, _ = own.table("none").group_by().aggregate_with_state({"n": "count"})
+    assert empty.count() == 0
+
+
+def test_csv_finds_out_about_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"x\ny"\n2,"z"\n')
+    (tmp_path / "b.csv").write_text('k,v\n1,"x, ""y"""\n2,z\n')
+    assert [tuple(r) for r in text.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [(1.0, "x\ny"), (2.0, "z")]
+    assert [tuple(r) for r in text.read_csv(spark, str(tmp_path / "b.csv")).collect()] == [(1.0, 'x, "y"'), (2.0, "z")]
+
+
+def test_shapes_known_and_unknown_agree(lake, spark):
+    """Points and boxes as Columns, against the exact functions on their texts and bytes."""
+    from tarn.functions import geo
+
+    shapes = ['{"type":"Point","coordinates":[1,2]}', "POINT(3 4)", '{"type":"BBox","minx":0,"miny":0,"maxx":3,"maxy":4}', '{"type":"BBox","minx":2,"miny":1,"maxx":2.5,"maxy":9}', '{"type":"LineString","coordinates":[[0,0],[4,4]]}', '{"type":"Polygon","coordinates":[[[0,0],[6,0],[0,6],[0,0]]]}', '{"type":"Point","coordinates":[-0.00012,12345678.9]}']
+    table = Lake(spark, tables={"g": spark.createDataFrame([(i, s) for i, s in enumerate(shapes)] + [(99, None)], "i int, s string")})
+    for other in shapes:
+        b = geo.parse(other)
+        for name, of in (("st_intersects", geo.intersects), ("st_disjoint", lambda p, q: not geo.intersects(p, q)), ("st_contains", geo.contains), ("st_within", lambda p, q: geo.contains(q, p)), ("st_distance", geo.box_distance)):
+            got = {r["i"]: r["v"] for r in table.table("g").project(i=x.col("i"), v=x.fn(name, x.col("s"), other)).collect()}
+            want = {i: of(geo.parse(s), b) for i, s in enumerate(shapes)} | {99: None}
+            assert got == want, (name, other)
+            literal = lake.table("t").limit(1).project(v=x.fn(name, shapes[0], other)).first()["v"]
+            assert literal == of(geo.parse(shapes[0]), b), (name, other)
+        near = {r["i"] for r in table.table("g").select("i").where(x.st_dwithin(x.col("s"), other, 1.5)).collect()}
+        assert near == {i for i, s in enumerate(shapes) if geo.exact_distance(geo.parse(s), b) <= 1.5}
+    assert value(lake, x.st_point(-0.00012, 12345678.9)) == shapes[-1] and value(lake, x.st_x("POINT(3 4)")) == 3
+    assert value(lake, x.st_point(1, x.lit(None))) is None and value(lake, x.st_x(x.st_point(1, x.lit(None)))) is None
+    with pytest.raises(Exception, match="ordered bounds"):
+        value(lake, x.st_bbox(1, 0, 0, 0))
+    with pytest.raises(Exception, match="finite"):
+        value(lake, x.st_x(x.st_point(x.div(1, 0), 0)))
+
+
 def test_command_line(spark, sf, tmp_path, capsys):
     import io
 
