@@ -64,3 +64,73 @@ def test_stages_take_any_columns_and_rows(spark, sf, tmp_path):
                 assert made.columns == columns and made.where(" AND ".join(f"`{k}` = {v}" for k, v in more.items())).count() == made.count(), name
                 docs = made
         assert left == 0 or 0 < docs.count() < left
+
+
+def test_pipeline_equals_brute_force(spark, sf):
+    """run() against plain Python and DuckDB, stage by stage, down to the tokens of every packed piece."""
+    import re
+    import zlib
+
+    import duckdb
+    import numpy as np
+    import pandas as pd
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tarn.llm import packing, toxicity
+    from tarn.llm.common import Workspace, tables
+    from tarn.llm.queries import ORACLE_SQL
+
+    docs = {r["doc_id"]: (r["text"], r["lang"]) for r in tables(spark, sf, "documents").collect()}
+    model = toxicity.fit(tables(spark, sf, "documents"), tables(spark, sf, "labels"), Workspace(spark, "t"))
+    lexicon = toxicity.Lexicon(model.entries)
+    odds = {d: lexicon.features(lexicon.evidence(t)) @ model.weights[:-1] + model.weights[-1] for d, (t, _) in docs.items()}
+    docs = {d: v for d, v in docs.items() if odds[d] < 0}
+
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame([(d, t, lang) for d, (t, lang) in docs.items()], columns=["doc_id", "text", "lang"]))
+    good = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({ORACLE_SQL['op10_divergence_rules']}) WHERE kept").fetchall()}
+    docs = {d: v for d, v in docs.items() if d in good}
+
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, (t, _) in docs.items()}
+    lower = {d: [w.encode().lower() for w in ws] for d, ws in words.items()}
+    sets = {d: {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for d, ws in lower.items()}
+    label = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in links:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = {d: v for d, v in docs.items() if label[d] == d}
+
+    seen, texts = set(), {}
+    for d in sorted(docs):
+        gone = [False] * len(words[d])
+        for i in range(len(words[d]) - 19):
+            key = tuple(words[d][i : i + 20])
+            if key in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(key)
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", docs[d][0])]
+        runs, text = [], docs[d][0]
+        for i, (start, end) in enumerate(places):
+            if not gone[i]:
+                if i and not gone[i - 1] and runs:
+                    runs[-1] = (runs[-1][0], end)
+                else:
+                    runs.append((start, end))
+        texts[d] = " ".join(text[a:b] for a, b in runs) if any(gone) else text
+
+    lib, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), set()
+    for d, text in texts.items():
+        ids = [*lib.encode(text, add_special_tokens=False).ids, 2]
+        want |= {(d, k, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())) for k, (start, n) in enumerate(packing.cut(len(ids)))}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in held.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)]).tolist()]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 1024
+    (least,) = {r["least_sequences"] for r in got}
+    assert least <= len(held) <= least + 1
