@@ -304,11 +304,12 @@ def create_table_as(df: DataFrame, prefix: str, job_id: str = "job", **more) ->
     return {"files": files, "manifest": tasks.output_manifest(job_id, files), "rows": sum(f["rows"] for f in files)}
 
 
-def compact(spark, source: str, target: str, max_rows_per_file: int = 1_000_000) -> None:
-    """Rewrites many small files as few."""
+def compact(spark, source: str, target: str, max_rows_per_file: int = 1_000_000) -> int:
+    """Rewrites many small files as few, of about equally many rows; returns their number."""
     df = spark.read.parquet(source)
     files = max(1, -(-df.count() // max_rows_per_file))
     df.repartition(files).write.mode("overwrite").parquet(target)
+    return files
 
 
 def read_manifest(path: str) -> dict:

@@ -661,3 +661,14 @@ def test_entry_runs(spark):
 
     assert repo.entry(spark).count() > 0
     assert set(repo.oracle_sql()) <= set(repo.queries())
+
+
+def test_compacted_files_has_as_many_files_as_its_rows_need(spark, tmp_path):
+    from tarn import catalogue, surfaces  # noqa: F401
+
+    ten, few = str(tmp_path / "ten"), str(tmp_path / "few")
+    spark.range(10).write.parquet(ten)
+    assert sinks.compact(spark, ten, few, 4) == 3 == len(files.list_files(spark, few))
+    many = spark.range(1_000_001).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"))
+    many.write.parquet(str(tmp_path / "events.parquet"))
+    assert catalogue.QUERIES["compacted_files"](spark, str(tmp_path)).agg(F.count("event_id"), F.sum("event_id")).first() == (1_000_001, 500_000_500_000)
