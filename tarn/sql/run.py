@@ -18,7 +18,7 @@ from tarn.plans.spec import Aggregate, Order, QuerySpec
 from tarn.sql.ast import AggCall, Describe, InQuery, ScalarQuery, Select, Star, Table
 from tarn.sql.parser import parse
 
-#: Rows that the right side of a SQL join may have; None lifts the bound.
+#: Rows that the right side of a SQL JOIN may have; None lifts the bound. IN (SELECT …) has none.
 JOIN_ROWS = 100_000
 
 
@@ -154,7 +154,8 @@ class Runner:
             raise unsupported("an IN subquery gives a column for each key")
         right = Runner(self.lake, self.tables, self.join_rows).select(replace(q, items=tuple((i, f"k{n}") for n, (i, _) in enumerate(q.items))))
         names = [f"k{n}" for n in range(len(e.keys))]
-        return join_frames(df, right, [k.name for k in e.keys], names, "anti" if e.negated else "semi", self.join_rows)
+        # Rows are only kept or dropped: no bound on the right side, Spark deals both by key where it is large.
+        return join_frames(df, right, [k.name for k in e.keys], names, "anti" if e.negated else "semi")
 
     def joined(self, s: Select) -> DataFrame:
         """Both sides with columns named alias.column."""

@@ -672,3 +672,8 @@ def test_compacted_files_has_as_many_files_as_its_rows_need(spark, tmp_path):
     many = spark.range(1_000_001).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"))
     many.write.parquet(str(tmp_path / "events.parquet"))
     assert catalogue.QUERIES["compacted_files"](spark, str(tmp_path)).agg(F.count("event_id"), F.sum("event_id")).first() == (1_000_001, 500_000_500_000)
+
+
+def test_in_subquery_has_no_bound_on_its_keys(spark):
+    keys = Lake(spark, tables={"t": spark.range(150_001)})
+    assert keys.sql("SELECT id FROM t WHERE id IN (SELECT id FROM t WHERE id > 9) AND id < 20").count() == 10
