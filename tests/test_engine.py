@@ -677,3 +677,8 @@ def test_compacted_files_has_as_many_files_as_its_rows_need(spark, tmp_path):
 def test_in_subquery_has_no_bound_on_its_keys(spark):
     keys = Lake(spark, tables={"t": spark.range(150_001)})
     assert keys.sql("SELECT id FROM t WHERE id IN (SELECT id FROM t WHERE id > 9) AND id < 20").count() == 10
+
+
+def test_in_subquery_of_pairs_has_no_bound_on_its_keys(spark):
+    pairs = Lake(spark, tables={"t": spark.range(150_001).withColumn("k", F.col("id") % 3)})
+    assert pairs.sql("SELECT id FROM t WHERE (id, k) IN (SELECT id, k FROM t WHERE id > 9)").count() == 149_991
