@@ -682,3 +682,8 @@ def test_in_subquery_has_no_bound_on_its_keys(spark):
 def test_in_subquery_of_pairs_has_no_bound_on_its_keys(spark):
     pairs = Lake(spark, tables={"t": spark.range(150_001).withColumn("k", F.col("id") % 3)})
     assert pairs.sql("SELECT id FROM t WHERE (id, k) IN (SELECT id, k FROM t WHERE id > 9)").count() == 149_991
+
+
+def test_not_in_subquery_has_no_bound_on_its_keys(spark):
+    some = Lake(spark, tables={"t": spark.range(150_001).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))})
+    assert some.sql("SELECT id FROM t WHERE id NOT IN (SELECT id FROM t WHERE id > 9)").count() == 10  # the null too
