@@ -499,13 +499,9 @@ def _(lake, p):
 # Work units, row ranges, statistics.
 @query("row_range_units", "SELECT p_partkey, p_size FROM part WHERE p_size > 10")
 def _(lake, p):
-    task = lake.path(p["part"]).select("p_partkey", "p_size").where(x.gt(x.col("p_size"), 10)).plan_tasks()[0]
-    units = [tasks.Task.from_json(tasks.json_boundary(u.to_json())) for u in tasks.split(task, max_rows=700)]
-    made = [tasks.scan(lake.spark, u) for u in units]
-    out = made[0]
-    for other in made[1:]:
-        out = out.union(other)
-    return out
+    found = lake.path(p["part"]).select("p_partkey", "p_size").where(x.gt(x.col("p_size"), 10)).plan_tasks()
+    units = [tasks.Task.from_json(tasks.json_boundary(u.to_json())) for t in found for u in tasks.split(t, max_rows=700)]
+    return tasks.scan_units(lake.spark, units)
 
 
 @query("query_stats", "SELECT count(*) AS rows_decoded, count(*) FILTER (WHERE o_totalprice > 100000) AS rows_matched, CAST(12 AS BIGINT) AS rows_returned, CAST(1 AS BIGINT) AS files_read, 'o_orderkey,o_totalprice' AS columns_read FROM orders")

@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.errors import EngineError
 from tarn.expr import Expr, from_json
+from tarn.operators.aggregate import ORDINAL
 from tarn.plans import explain
 from tarn.plans.compile import Compiler, quoted
 from tarn.plans.spec import fingerprint, stable_json
@@ -65,21 +66,67 @@ def split(task: Task, max_row_groups: int = 1, max_rows: int | None = None) -> l
     return out
 
 
-def scan(spark: SparkSession, task: Task) -> DataFrame:
-    """The rows of one unit."""
+def joined_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same rows in ascending ranges that do not touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def together(units: Iterable[Task]) -> list[Task]:
+    """The rows of units in as few: those that follow one another in a file become one.
+
+    Spark reads a file as a whole to find a range of its rows, so many units of a file are
+    read by one scan, which it splits itself. Units that overlap or go back stay apart.
+    """
+    held: list[tuple[Task, list[tuple[int, int]]]] = []
+    for unit in units:
+        own, whole = joined_ranges(unit.ranges), replace(unit, ranges=())
+        last = held[-1] if held else None
+        if last and own and last[1] and last[0] == whole and last[1][-1][1] <= own[0][0]:
+            if last[1][-1][1] == own[0][0]:
+                own[0] = (last[1].pop()[0], own[0][1])
+            last[1].extend(own)
+        else:
+            held.append((whole, own))
+    return [replace(task, ranges=tuple(ranges)) for task, ranges in held]
+
+
+def _inside(row: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a row is in one of ascending ranges, by halves."""
+    if len(ranges) == 1:
+        return (row >= ranges[0][0]) & (row < ranges[0][1])
+    middle = len(ranges) // 2
+    return F.when(row < ranges[middle][0], _inside(row, ranges[:middle])).otherwise(_inside(row, ranges[middle:]))
+
+
+def scan(spark: SparkSession, task: Task, ordinal: bool = False) -> DataFrame:
+    """The rows of one unit, with their places if asked for."""
     df = spark.read.parquet(task.path)
+    row = F.col("_metadata.row_index")
+    place = [F.struct(F.col("_metadata.file_path").alias("path"), row.alias("row")).alias(ORDINAL)] if ordinal else []
     for k, v in task.partition.items():
         if k not in df.columns:
             df = df.withColumn(k, F.lit(v))
     if task.ranges:
-        row = F.col("_metadata.row_index")
-        inside = F.lit(False)
-        for a, b in task.ranges:
-            inside = inside | ((row >= a) & (row < b))
-        df = df.where(inside)
+        df = df.where(_inside(row, joined_ranges(task.ranges)))
     if task.where is not None:
         df = df.where(Compiler(df.schema).boolean(from_json(task.where)))
-    return df if task.columns is None else df.select(*[quoted(c) for c in task.columns])
+    return df.select(*[quoted(c) for c in (df.columns if task.columns is None else task.columns)], *place)
+
+
+def scan_units(spark: SparkSession, units: Iterable[Task]) -> DataFrame:
+    """The rows of many units; a file's units are read by one scan."""
+    made = [scan(spark, u) for u in together(units)]
+    if not made:
+        raise EngineError("VALIDATION_ERROR", "there are no units")
+    while len(made) > 1:  # by pairs, since a chain of unions is analysed anew with each
+        made = [made[i].union(made[i + 1]) if i + 1 < len(made) else made[i] for i in range(0, len(made), 2)]
+    return made[0]
 
 
 def fan_in(inputs: Iterable, run: Callable, reduce: Callable, initial, max_concurrent: int = 4, boundary: Callable | None = None, max_buffered: int = 16):

@@ -1,5 +1,6 @@
 """Semantics of expressions, operators and errors on tiny tables."""
 
+import dataclasses
 import datetime
 import hashlib
 import json
@@ -687,3 +688,24 @@ def test_in_subquery_of_pairs_has_no_bound_on_its_keys(spark):
 def test_not_in_subquery_has_no_bound_on_its_keys(spark):
     some = Lake(spark, tables={"t": spark.range(150_001).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))})
     assert some.sql("SELECT id FROM t WHERE id NOT IN (SELECT id FROM t WHERE id > 9)").count() == 10  # the null too
+
+
+def test_units_of_a_file_are_read_by_one_scan(spark, tmp_path):
+    root = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(root)
+    unit = Lake(spark).path(root).where(x.ne(x.col("id"), 50)).plan_tasks()[0]
+    of = lambda *ranges: dataclasses.replace(unit, ranges=ranges)
+    held = lambda units: sorted(r["id"] for r in tasks.scan_units(spark, units).collect())
+    units = tasks.split(unit, max_rows=3)
+    assert len(units) == 34 and tasks.together(units) == [of((0, 100))]
+    assert held(units) == [i for i in range(100) if i != 50]
+    assert tasks.scan_units(spark, units)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    # Gaps stay; what overlaps or goes back counts as often as units hold it.
+    gaps = [of((2 * i, 2 * i + 1)) for i in range(30)]
+    assert len(tasks.together(gaps)) == 1 and held(gaps) == list(range(0, 50, 2)) + [52, 54, 56, 58]
+    assert held([of((0, 3)), of((2, 4)), of((1, 2), (0, 1), (0, 2))]) == [0, 0, 1, 1, 2, 2, 3]
+    # In several files and without a range.
+    spark.range(100, 110).repartition(3).write.mode("append").parquet(root)
+    whole = Lake(spark).path(root).plan_tasks()
+    assert held(whole) == list(range(110)) == held([u for t in whole for u in tasks.split(t, max_rows=7)])
+    assert code(tasks.scan_units, spark, []) == "VALIDATION_ERROR"
