@@ -186,9 +186,8 @@ def aggregate(
         raise EngineError("GROUP_LIMIT_EXCEEDED", f"more than {max_groups} groups", limit=max_groups)
     if having is not None:
         out = out.where(Compiler(out.schema).boolean(having))
-    if order_by:
-        from tarn.operators.rows import ordered
+    if not (order_by or offset or limit is not None):
+        return out
+    from tarn.operators.rows import sliced_rows, sort_keys
 
-        out = ordered(out, order_by)
-    out = out.offset(offset) if offset else out
-    return out if limit is None else out.limit(limit)
+    return sliced_rows(out, sort_keys(out, order_by), order_by, offset, limit)

@@ -9,6 +9,7 @@ from tarn.errors import EngineError, type_error
 from tarn.operators.aggregate import ORDINAL
 from tarn.plans.compile import Compiler, quoted
 from tarn.plans.spec import Order, QuerySpec
+from tarn.scratch import scratch
 
 
 def sort_keys(df: DataFrame, order_by: tuple[Order, ...]) -> list[Column]:
@@ -25,10 +26,6 @@ def sort_keys(df: DataFrame, order_by: tuple[Order, ...]) -> list[Column]:
     return keys
 
 
-def ordered(df: DataFrame, order_by: tuple[Order, ...]) -> DataFrame:
-    return df.orderBy(*sort_keys(df, order_by))
-
-
 def outputs(df: DataFrame, spec: QuerySpec) -> list[Column]:
     """Selected columns, then computed ones; all columns if neither is given."""
     compiler = Compiler(df.schema)
@@ -62,15 +59,55 @@ def run(df: DataFrame, spec: QuerySpec) -> DataFrame:
         named = [f"__o{i}" for i in range(len(made))]
         wide = df.select(*[c.alias(n) for c, n in zip(made, named, strict=True)], *[F.col(quoted(c)) for c in df.columns])
         first = F.row_number().over(Window.partitionBy(*named).orderBy(*keys))
-        rows = sliced_rows(wide.withColumn("__nth", first).where("__nth = 1").orderBy(*keys), spec)
+        rows = sliced_rows(wide.withColumn("__nth", first).where("__nth = 1"), keys, spec.order_by, spec.offset, spec.limit)
         return rows.select(*[F.col(n).alias(c) for n, c in zip(named, df.select(*made).columns, strict=True)])
-    if spec.distinct:
-        return df.select(*made).distinct()
-    if keys:  # sorted before it is projected: with a limit this is one top-k operator
-        df = sliced_rows(df.orderBy(*keys), spec)
-    return df.select(*made)
+    if spec.distinct:  # of a table without places, in no order
+        return sliced_rows(df.select(*made).distinct(), [], (), spec.offset, spec.limit)
+    # Sorted before it is projected: with a limit this is one top-k operator.
+    return sliced_rows(df, keys, spec.order_by, spec.offset, spec.limit).select(*made)
+
+
+#: Rows up to which those that an offset skips are held by a task, to find the first that is left.
+SKIPPED = 100_000
+
+
+def sliced_rows(df: DataFrame, keys: list[Column], order_by: tuple[Order, ...], offset: int, limit: int | None) -> DataFrame:
+    """df in the order of keys, which are order_by and the rows' places if they have any, from an offset on.
+
+    Spark's own offset without a limit puts all rows into one task. Here the first row that is
+    left is found, and all rows from it on are sorted by all tasks.
+    """
+    if limit is not None or not offset:
+        df = df.orderBy(*keys) if keys else df
+        df = df.offset(offset) if offset else df
+        return df if limit is None else df.limit(limit)
+    if ORDINAL in df.columns and offset <= SKIPPED:  # an order without ties
+        terms = [*order_by, Order(ORDINAL, False)]
+        own = [F.col(quoted(o.column)) for o in terms]
+        first = df.orderBy(*keys).offset(offset).limit(1).select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)])).scalar()
+        left = _from_on([(c, first[f"c{i}"], o) for i, (c, o) in enumerate(zip(own, terms, strict=True))])
+        return df.where(first.isNotNull() & left).orderBy(*keys)
+    return _written_from(df.orderBy(*keys) if keys else df, offset)
+
+
+def _from_on(terms: list[tuple[Column, Column, Order]]) -> Column:
+    """Whether a row's values are those of another, or behind them in their order."""
+    found = F.lit(True)
+    for own, other, o in reversed(terms):
+        on_null = own.isNotNull() & other.isNull() if o.nulls else own.isNull() & other.isNotNull()
+        behind = F.when(own.isNull() | other.isNull(), on_null).otherwise(own < other if o.descending else own > other)
+        found = behind | (own.eqNullSafe(other) & found)
+    return found
 
 
-def sliced_rows(df: DataFrame, spec: QuerySpec) -> DataFrame:
-    df = df.offset(spec.offset) if spec.offset else df
-    return df if spec.limit is None else df.limit(spec.limit)
+def _written_from(df: DataFrame, offset: int) -> DataFrame:
+    """The rows of df, which is in order, from an offset on: written with their places, which the tasks' counts number."""
+    where = scratch(df.sparkSession, "sorted")
+    df.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).write.parquet(where)
+    rows = df.sparkSession.read.parquet(where)
+    left = offset
+    for task, first, n in sorted(tuple(r) for r in rows.groupBy("__task").agg(F.min("__at"), F.count(F.lit(1))).collect()):  # a row for each task
+        if left < n:
+            return rows.where(F.col("__at") >= first + left).orderBy("__at").drop("__task", "__at")
+        left -= n
+    return rows.limit(0).drop("__task", "__at")

@@ -26,7 +26,8 @@ from tarn.plans.compile import Compiler, quoted
 from tarn.plans.spec import Aggregate, QuerySpec, fingerprint
 from tarn.scratch import scratch
 
-VERSION = 1
+#: From 2 on no two rows of a state have one place.
+VERSION = 2
 #: Aggregates that are made from the values of a group and their numbers.
 BY_VALUE = {"count_distinct", "approx_count_distinct", "median", "quantile", "mode"}
 
@@ -50,7 +51,7 @@ def _kept(df: DataFrame, folder: str, name: str) -> tuple[DataFrame, str]:
 
 def _marked(df: DataFrame, unit: int) -> DataFrame:
     """df with its rows' places, behind those of all units before."""
-    place = F.col(agg.ORDINAL) if agg.ORDINAL in df.columns else F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("row"))
+    place = F.col(agg.ORDINAL) if agg.ORDINAL in df.columns else F.struct(F.lit("").alias("path"), F.monotonically_increasing_id().alias("row"))
     return df.withColumn(agg.ORDINAL, F.struct(F.lit(unit).alias("unit"), place["path"].alias("path"), place["row"].alias("row")))
 
 

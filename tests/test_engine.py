@@ -709,3 +709,34 @@ def test_units_of_a_file_are_read_by_one_scan(spark, tmp_path):
     whole = Lake(spark).path(root).plan_tasks()
     assert held(whole) == list(range(110)) == held([u for t in whole for u in tasks.split(t, max_rows=7)])
     assert code(tasks.scan_units, spark, []) == "VALIDATION_ERROR"
+
+
+def test_an_offset_without_a_limit_is_sorted_by_all_tasks(spark, tmp_path, monkeypatch):
+    from tarn.operators import rows as row_ops
+
+    values = [None, 2.0, math.nan, -1.0, math.inf, 2.0, None, 0.5, math.nan, -1.0]
+    made = [(i, v, None if i % 4 == 1 else "ab"[i % 2]) for i, v in enumerate(values * 5)]
+    root = str(tmp_path / "t")
+    spark.createDataFrame(made, "id int, d double, s string").repartition(3).write.parquet(root)
+    orders = ((), (Order("s", True, False), Order("d", False, True)), (Order("d", True), Order("s")), (Order("s", False, True), Order("id", True)))
+    for skipped in (100_000, 0):  # by the first row left, and written
+        monkeypatch.setattr(row_ops, "SKIPPED", skipped)
+        for order in orders:
+            q = Lake(spark).path(root).order_by(*order)
+            ids = [r["id"] for r in q.limit(50).collect()]
+            for n in (1, 17, 49, 50, 90):
+                assert [r["id"] for r in q.offset(n).collect()] == ids[n:], (order, n)
+        q = Lake(spark).path(root).select("d", "s").distinct().order_by("d", "-s")
+        assert list(map(repr, q.offset(3).collect())) == list(map(repr, q.limit(100).collect()[3:]))
+    plan = Lake(spark).path(root).order_by("d").offset(7).frame()._jdf.queryExecution().executedPlan().toString()
+    assert "GlobalLimit" not in plan and "CollectLimit" not in plan
+    # A table without places; groups; equal rows behind a state.
+    named = Lake(spark, tables={"t": spark.range(40).select((F.col("id") % 4).alias("k"))})
+    assert [r["k"] for r in named.table("t").order_by("k").offset(15).collect()] == [1] * 5 + [2] * 10 + [3] * 10
+    assert named.table("t").offset(15).count() == 25 and named.table("t").limit(3).count() == 3 and named.table("t").distinct().limit(3).count() == 3
+    assert [r["k"] for r in named.table("t").group_by("k").aggregate({"n": "count"}, order_by=("-k",), offset=1).collect()] == [2, 1, 0]
+    monkeypatch.setattr(row_ops, "SKIPPED", 100_000)
+    q, state = named.table("t").order_by("k").offset(15), None
+    for _ in range(2):
+        out, state = q.sort_with_state(state)
+    assert [r["k"] for r in out.collect()] == [0] * 5 + [1] * 20 + [2] * 20 + [3] * 20
