@@ -216,6 +216,7 @@ def aggregate_units(spark: SparkSession, units: list, scan, keys: list[str], spe
     """Groups over work units: each gives written partials, which are merged in the units' order.
 
     scan(unit) gives its rows. At most max_concurrent units run and max_buffered partials wait at a time.
+    As many partials of a level are merged into one of the next, so that a value is written once a level.
     """
     from tarn.plans.tasks import fan_in
 
@@ -228,13 +229,15 @@ def aggregate_units(spark: SparkSession, units: list, scan, keys: list[str], spe
         return number, _written(made["partials"].of(df, number), folder, number)
 
     def reduce(held: list, part) -> list:
-        held = [*held, part]
-        if len(held) < max_buffered:
-            return held
-        merged = made["partials"].merged([_read(spark, t) for _, t in held])
-        return [(part[0], _written(merged, f"{folder}/merged", part[0]))]
+        number, tables = part
+        held, level, width = [*held, (0, tables)], 0, max(2, max_buffered)
+        while len(held) >= width and held[-width][0] == level:
+            merged = made["partials"].merged([_read(spark, t) for _, t in held[-width:]])
+            level += 1
+            held = [*held[:-width], (level, _written(merged, f"{folder}/merged-{level}", number))]
+        return held
 
     if not units:
         raise EngineError("VALIDATION_ERROR", "there are no units")
-    held = fan_in(enumerate(units), run, reduce, [], max_concurrent, max_buffered=max_buffered)
-    return made["partials"].finished(made["partials"].merged([_read(spark, t) for _, t in held]))
+    held = [_read(spark, t) for _, t in fan_in(enumerate(units), run, reduce, [], max_concurrent, max_buffered=max_buffered)]
+    return made["partials"].finished(made["partials"].merged(held) if len(held) > 1 else held[0])

@@ -151,10 +151,10 @@ def fan_in(inputs: Iterable, run: Callable, reduce: Callable, initial, max_concu
 
 
 def aggregate(spark: SparkSession, units: list[Task], keys: list[str], spec: dict, folder: str | None = None, **more) -> DataFrame:
-    """Groups over work units, from partial aggregates of each; spec: {alias: Aggregate}."""
+    """Groups over work units, from partial aggregates of each file's; spec: {alias: Aggregate}."""
     from tarn.operators.state import aggregate_units
 
-    return aggregate_units(spark, units, lambda unit: scan(spark, unit), keys, spec, folder, **more)
+    return aggregate_units(spark, together(units), lambda unit: scan(spark, unit, ordinal=True), keys, spec, folder, **more)
 
 
 def json_boundary(value):

@@ -740,3 +740,20 @@ def test_an_offset_without_a_limit_is_sorted_by_all_tasks(spark, tmp_path, monke
     for _ in range(2):
         out, state = q.sort_with_state(state)
     assert [r["k"] for r in out.collect()] == [0] * 5 + [1] * 20 + [2] * 20 + [3] * 20
+
+
+def test_work_units_are_aggregated_by_file_and_merged_by_level(spark, tmp_path, monkeypatch):
+    from tarn.operators import state
+
+    root = str(tmp_path / "t")
+    rows = spark.range(90, numPartitions=9).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    rows.write.parquet(root)
+    units = [u for t in Lake(spark).path(root).plan_tasks() for u in tasks.split(t, max_rows=2)]
+    spec = {"n": Aggregate("count"), "a": Aggregate("first", "v"), "z": Aggregate("last", "v"), "m": Aggregate("median", "v"), "mo": Aggregate("mode", "v")}
+    written = []
+    monkeypatch.setattr(state, "_written", lambda parts, folder, unit, own=state._written: written.append((folder.rpartition("/")[2], unit)) or own(parts, folder, unit))
+    out = tasks.aggregate(spark, units, ["k"], spec, max_concurrent=1, max_buffered=3).orderBy("k").collect()
+    assert [tuple(r) for r in out] == [(0, 45, 0, 88, 44.0, 0), (1, 45, 1, 89, 45.0, 1)]
+    # A scan for each of the 9 files, not for 45 units; no value is written more often than there are levels.
+    merged = [w for w in written if w[0].startswith("merged")]
+    assert len(written) - len(merged) == 9 and sorted(merged) == [("merged-1", 2), ("merged-1", 5), ("merged-1", 8), ("merged-2", 8)]
