@@ -553,7 +553,7 @@ def _shapes(spark: SparkSession, sf: str) -> Lake:
 
         return pd.Series([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(xs, ys, strict=True)])
 
-    packed = F.pandas_udf(wkb, "binary", F.PandasUDFType.SCALAR)
+    packed = F.pandas_udf(wkb, "binary", F.PandasUDFType.SCALAR).asNondeterministic()  # made once a row, not for each use
     df = spark.read.parquet(f"{sf}/events.parquet").select("event_id", triangle.alias("shape"), words.alias("words"), packed(lon, lat).alias("wkb"))
     return Lake(spark, tables={"shapes": df})
 

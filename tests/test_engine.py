@@ -757,3 +757,10 @@ def test_work_units_are_aggregated_by_file_and_merged_by_level(spark, tmp_path,
     # A scan for each of the 9 files, not for 45 units; no value is written more often than there are levels.
     merged = [w for w in written if w[0].startswith("merged")]
     assert len(written) - len(merged) == 9 and sorted(merged) == [("merged-1", 2), ("merged-1", 5), ("merged-1", 8), ("merged-2", 8)]
+
+
+def test_geo_wkb_packs_its_points_once(spark, sf):
+    from tarn import catalogue
+
+    plan = catalogue.QUERIES["geo_wkb"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [wkb(") == 1
